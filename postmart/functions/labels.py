@@ -57,13 +57,9 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def label_posts(posts: DataFrame, terms: LabelTerms | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """One row per fired rule.  Features are computed once per post, before the explode, so the text
-    column never travels with the exploded rows."""
-    terms = terms or LabelTerms()
+def _features(terms: LabelTerms) -> list[Column]:
     text = F.coalesce(F.col("content"), F.lit(""))
-    features = posts.select(
-        F.col("id").alias("post_id"),
+    return [
         F.length(text).alias("length"),
         keyword_hits(text, terms.positive).alias("positive"),
         keyword_hits(text, terms.tuning).alias("tuning"),
@@ -72,11 +68,17 @@ def label_posts(posts: DataFrame, terms: LabelTerms | None = None, rules: list[R
         F.col("period_years").cast("double").alias("period"),
         F.col("sharpe").cast("double").alias("sharpe"),
         F.coalesce(F.col("is_original_candidate").cast("boolean"), F.lit(False)).alias("candidate"),
-    )
-    f = {name: F.col(name) for name in features.columns}
+    ]
+
+
+def with_labels(posts: DataFrame, name: str, terms: LabelTerms | None = None, rules: list[Rule] | None = None) -> DataFrame:
+    """Add the fired rules of each post as array<struct<label,score,reason>>; no shuffle."""
+    featured = posts.select("*", F.struct(*_features(terms or LabelTerms())).alias("__f"))
+    names = ["length", "positive", "tuning", "combo", "code", "period", "sharpe", "candidate"]
+    f = {n: F.col(f"__f.{n}") for n in names}
     fired = [
         F.when(
-            rule.fires(f),
+            F.coalesce(rule.fires(f), F.lit(False)),
             F.struct(
                 F.lit(rule.label).alias("label"),
                 rule.score(f).cast("double").alias("score"),
@@ -85,4 +87,15 @@ def label_posts(posts: DataFrame, terms: LabelTerms | None = None, rules: list[R
         )
         for rule in (rules or default_rules())
     ]
-    return features.select("post_id", F.inline(F.array_compact(F.array(*fired))))
+    return featured.withColumn(name, F.array_compact(F.array(*fired))).drop("__f")
+
+
+def label_posts(posts: DataFrame, terms: LabelTerms | None = None, rules: list[Rule] | None = None) -> DataFrame:
+    """One row per fired rule: (post_id, label, score, reason)."""
+    return with_labels(posts, "__labels", terms, rules).select(F.col("id").alias("post_id"), F.inline("__labels"))
+
+
+def labels_as_text(labels: Column) -> Column:
+    """Sorted distinct labels of an array between pipes, '' when there are none."""
+    names = F.array_sort(F.array_distinct(F.transform(labels, lambda x: x["label"])))
+    return F.when(F.size(names) > 0, F.concat(F.lit("|"), F.array_join(names, "|"), F.lit("|"))).otherwise(F.lit(""))

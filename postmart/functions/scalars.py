@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 __all__ = [
     "DEFAULT_POST_URL", "RUN_STATE_CODES", "RUN_STATUS_WORDS", "STAT_FIELDS", "TRADING_DAYS_PER_YEAR",
-    "business_today", "content_hash", "day_spine", "default_url", "epoch_ms", "flag01", "float_or_null",
+    "business_today", "content_hash", "curve_time", "day_spine", "default_url", "epoch_ms", "flag01", "float_or_null",
     "int_strict", "int_trunc", "is_blank", "keyword_hits", "logical_key", "map_run_status", "nonblank",
     "normalize_tags", "parse_time", "period_years", "preview", "redact", "split_date_range", "squash_ws",
     "strip_controls", "strip_ws", "to_ratio", "truncation_flag", "url_param", "vget", "vkind", "vlist",
@@ -87,7 +87,9 @@ def vlist(v: Column | str, path: str) -> Column:
 
 def int_strict(c: Column | str, default: int | None = None) -> Column:
     """Whole-number text to bigint; anything else ('3.5', '', words) gives ``default``."""
-    value = _c(c).try_cast("bigint")
+    text = _c(c).cast("string")
+    # The pattern first: a cast that fails builds an exception per row, which is slow on dirty columns.
+    value = F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast("bigint"))
     return value if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
 
 
@@ -135,6 +137,12 @@ def epoch_ms(c: Column | str) -> Column:
     return F.timestamp_millis(_c(c).cast("bigint"))
 
 
+def curve_time(c: Column | str) -> Column:
+    """Unix milliseconds as wall-clock time of the exchange (UTC+8), zone-free."""
+    seconds = (_c(c).cast("decimal(18,0)") / 1000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 08:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def to_ratio(c: Column | str, unit: Column | str) -> Column:
     """Curves come in percent and statistics as ratios; bring both to ratios."""
     return F.when(_c(unit) == "percent", _c(c) / 100.0).otherwise(_c(c))

@@ -228,9 +228,17 @@ def normalize_archive_post(
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
     opt = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
     stats = F.col("backtest.stats")
-    stat_names = set(df.schema["backtest"].dataType["stats"].dataType.fieldNames())
-    days = X.int_trunc(stats["trading_days"])
-    other_annual = X.float_or_null(stats["annual_return"]) if "annual_return" in stat_names else F.lit(None).cast("double")
+    # Typed columns are only converted; text columns of older archives go through the lenient parsers.
+    number = lambda col, kind: (
+        col if isinstance(kind, T.DoubleType) else col.cast("double") if isinstance(kind, T.NumericType) else X.float_or_null(col)
+    )
+    whole = lambda col, kind: (
+        col if isinstance(kind, T.LongType) else col.try_cast("bigint") if isinstance(kind, T.NumericType) else X.int_trunc(col)
+    )
+    stat_types = {f.name: f.dataType for f in df.schema["backtest"].dataType["stats"].dataType.fields}
+    stat = lambda name: number(stats[name], stat_types[name])
+    days = whole(stats["trading_days"], stat_types["trading_days"])
+    other_annual = stat("annual_return") if "annual_return" in stat_types else F.lit(None).cast("double")
     stamp = F.lit(refreshed_at) if isinstance(refreshed_at, str) else refreshed_at
     rows = df.withColumn("id", F.coalesce(X.nonblank("id"), opt("post_id"), F.lit(""))).where(F.col("id") != "")
     typed = rows.select(
@@ -242,15 +250,15 @@ def normalize_archive_post(
         F.coalesce(X.nonblank(F.col("author.name")), opt("author_name"), F.lit("")).alias("author_name"),
         text("content").alias("content"),
         X.preview("content_preview", "content").alias("content_preview"),
-        *[X.int_trunc(c).alias(c) for c in ("view_count", "like_count", "reply_count")],
+        *[whole(F.col(c), df.schema[c].dataType).alias(c) for c in ("view_count", "like_count", "reply_count")],
         F.coalesce(F.col("backtest.id"), F.lit("")).alias("backtest_id"),
         F.coalesce(F.col("backtest.name"), F.lit("")).alias("backtest_name"),
         days.alias("trading_days"),
         X.period_years(days).alias("period_years"),
-        _first_truthy(X.float_or_null(stats["annual_algo_return"]), other_annual).alias("annual_return"),
-        X.float_or_null(stats["sharpe"]).alias("sharpe"),
-        X.float_or_null(stats["max_drawdown"]).alias("max_drawdown"),
-        X.int_trunc(F.col("backtest.clone_count")).alias("clone_count"),
+        _first_truthy(stat("annual_algo_return"), other_annual).alias("annual_return"),
+        stat("sharpe").alias("sharpe"),
+        stat("max_drawdown").alias("max_drawdown"),
+        whole(F.col("backtest.clone_count"), df.schema["backtest"].dataType["clone_count"].dataType).alias("clone_count"),
         F.lit("archive").alias("source"),
         F.lit("").alias("raw_json"),
         stamp.alias("created_at"),
@@ -261,13 +269,14 @@ def normalize_archive_post(
     return flag_candidates(typed, candidates).select(*POST_COLUMNS)
 
 
-def build_post_index(posts: DataFrame) -> DataFrame:
-    """The serving projection: no content, plus logical key, label text and cleared duplicate flags."""
+def build_post_index(posts: DataFrame, labels_text: str | None = None) -> DataFrame:
+    """The serving projection: no content, plus logical key, label text and cleared duplicate flags.
+    Without a computed label text only the candidate label is written."""
     key = X.logical_key("author_name", "title", "published_at", "content_preview")
-    candidate = F.col("is_original_candidate").cast("int") == 1
+    candidate = F.when(F.col("is_original_candidate").cast("int") == 1, f"|{CANDIDATE_LABEL}|").otherwise("")
     return posts.select(
         *INDEX_COLUMNS,
-        F.when(candidate, f"|{CANDIDATE_LABEL}|").otherwise("").alias("labels_text"),
+        (F.col(labels_text) if labels_text else candidate).alias("labels_text"),
         F.lit(0).alias("is_hidden_duplicate"),
         F.lit(None).cast("string").alias("duplicate_of"),
         key.alias("logical_key"),

@@ -11,10 +11,17 @@ STATS = T.StructType([
     for name in STAT_FIELDS
 ])
 
-AUTHOR = T._parse_datatype_string("id string, name string, head_img_key string, vip_type string")
-RESEARCH = T._parse_datatype_string("notebook_path string, notebook_report string, notebook_clone_count bigint")
-FILE = T._parse_datatype_string("key string, name string, type string, size bigint, download_count bigint")
-TAGS = T._parse_datatype_string("array<struct<id:string,name:string>>")
+
+
+def _record(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+TEXT, COUNT = T.StringType(), T.LongType()
+AUTHOR = _record(id=TEXT, name=TEXT, head_img_key=TEXT, vip_type=TEXT)
+RESEARCH = _record(notebook_path=TEXT, notebook_report=TEXT, notebook_clone_count=COUNT)
+FILE = _record(key=TEXT, name=TEXT, type=TEXT, size=COUNT, download_count=COUNT)
+TAGS = T.ArrayType(_record(id=TEXT, name=TEXT))
 BACKTEST = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("name", T.StringType()),

@@ -83,9 +83,13 @@ class _Attributes(HTMLParser):
                 self.pairs[attr[self.key_attr]] = attr.get(self.value_attr, "")
 
 
-_ROW = T._parse_datatype_string(
-    "array<struct<cells:array<string>,attrs:map<string,string>,links:array<string>,inputs:map<string,string>>>"
-)
+_TEXTS, _PAIRS = T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
+_ROW = T.ArrayType(T.StructType([
+    T.StructField("cells", _TEXTS),
+    T.StructField("attrs", _PAIRS),
+    T.StructField("links", _TEXTS),
+    T.StructField("inputs", _PAIRS),
+]))
 
 
 def _per_page(df: DataFrame, html_col: str, name: str, kind: T.DataType, parse) -> DataFrame:
@@ -129,8 +133,7 @@ def extract_tag_attributes(df: DataFrame, html_col: str, tag: str, key_attr: str
         found.close()
         return found.pairs
 
-    kind = T.MapType(T.StringType(), T.StringType())
-    return _per_page(df, html_col, "attributes", kind, parse)
+    return _per_page(df, html_col, "attributes", _PAIRS, parse)
 
 
 def extract_links(df: DataFrame, html_col: str) -> DataFrame:

@@ -12,7 +12,7 @@ __all__ = [
     "DEFAULT_POST_URL", "RUN_STATE_CODES", "RUN_STATUS_WORDS", "STAT_FIELDS", "TRADING_DAYS_PER_YEAR",
     "business_today", "content_hash", "curve_time", "day_spine", "default_url", "epoch_ms", "flag01", "float_or_null",
     "int_strict", "int_trunc", "is_blank", "keyword_hits", "logical_key", "map_run_status", "nonblank",
-    "normalize_tags", "parse_time", "period_years", "preview", "redact", "split_date_range", "squash_ws",
+    "normalize_tags", "parse_time", "period_years", "preview", "redact", "rstrip_ws", "split_date_range", "squash_ws",
     "strip_controls", "strip_ws", "to_ratio", "truncation_flag", "url_param", "vget", "vkind", "vlist",
 ]
 
@@ -59,6 +59,10 @@ DEFAULT_POST_URL = "https://example.com/view/community/detail/"
 
 # Unicode white space as text tools split on it; Java's plain \s is ASCII only.
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The same characters spelled out, for trimming without a pattern.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
@@ -168,7 +172,12 @@ def squash_ws(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), f"^{_WS}+|{_WS}+$", "")
+    """Trim Unicode white space at both ends; looks at the ends only, however long the text is."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
+
+
+def rstrip_ws(c: Column | str) -> Column:
+    return F.rtrim(_c(c), F.lit(WS_CHARS))
 
 
 def strip_controls(c: Column | str) -> Column:

@@ -10,11 +10,8 @@ from postmart.functions import scalars as X
 from postmart.functions.labels import CANDIDATE_LABEL
 from postmart.schemas import ARCHIVE, INDEX_COLUMNS, POST_COLUMNS
 
-# Everything that ends a line of text, and white space before the end of a text.
+# Everything that ends a line of text, besides the line feed.
 LINE_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-TRAILING_SPACE = (
-    r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+\z"
-)
 
 
 def _text(v: Column, path: str) -> Column:
@@ -436,7 +433,7 @@ def refresh_marker_block(df: DataFrame, column: str, begin: str, end: str, block
         lambda piece, i: F.when(i == 0, piece).otherwise(F.regexp_extract(piece, rf"(?s){end_line}(.*)\z", 1)),
     )
     joined = F.regexp_replace(F.array_join(kept, ""), end_line, "")
-    body = F.regexp_replace(F.substring(joined, 2, 2**31 - 1), TRAILING_SPACE, "")
+    body = X.rstrip_ws(F.substring(joined, 2, 2**31 - 1))
     return df.withColumn(
         column, F.when(body == "", F.lit(block + "\n")).otherwise(F.concat(body, F.lit("\n\n" + block + "\n")))
     )

@@ -23,11 +23,12 @@ def mark_duplicates(index: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.coalesce("like_count", F.lit(0)).alias("likes"),
         F.col("id").alias("id"),
     )
+    # Blank keys are kept out inside the aggregate: a filter on the key would be pushed below and make
+    # a key that is computed in the same plan be computed twice.
     best = (
-        index.where(~is_blank("logical_key"))
-        .groupBy("logical_key")
-        .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
+        index.groupBy("logical_key")
+        .agg(F.max(F.when(~is_blank("logical_key"), rank)).alias("best"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 1) & F.col("best").isNotNull())
         .select("logical_key", "n", F.col("best.id").alias("__best_id"))
     )
     joined = join_facts(index, best, "logical_key", ["id"], rows="n", hot_rows=hot_rows)

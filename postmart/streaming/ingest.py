@@ -1,8 +1,137 @@
-from pyspark.sql import Column, DataFrame, functions as F
-from postmart.functions.scalars import parse_time
-from postmart.operators.filters import parse_until
+"""Incremental ingestion of landed feed pages with Structured Streaming.
+
+Micro-batches append normalised versions to a log that is partitioned by batch; compaction folds the log
+into the published archive.  Writing a batch replaces its own log partition, so a batch that is replayed
+after a failure is written once, and folding the same versions again changes nothing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from postmart.functions.scalars import DEFAULT_POST_URL, is_blank, parse_time
+from postmart.operators.filters import mark_feed_stop, parse_until
+from postmart.operators.joins import resume_anti
+from postmart.operators.merge import merge_versions
+from postmart.operators.normalize import compact_post, conform, normalize_feed_post
+from postmart.schemas import ARCHIVE
+from postmart.sinks.publish import read_published, replace_published
+from postmart.sources.files import path_exists
+from postmart.sources.payloads import scan_feed_pages
+
+LANDING_SCHEMA = T.StructType([
+    T.StructField("feed", T.StringType()),
+    T.StructField("page", T.LongType()),
+    T.StructField("payload", T.StringType()),
+])
 
 
 def high_watermark(archive: DataFrame, until: str | None = None) -> Column | None:
-    newest = archive.agg(F.max(parse_time("published_at")).alias("t")).first()[0]
-    return parse_until(until) if newest is None else F.lit(newest).cast("timestamp_ntz")
+    """Cut of the next increment: the newest archived time.  It overrides the caller's ``until``, which
+    only counts while the archive has no readable time.  One value comes to the driver."""
+    newest = archive.agg(F.max(parse_time("published_at")).cast("string")).first()[0]
+    return parse_until(until) if newest is None else parse_until(newest[:19])
+
+
+def late_rows(df: DataFrame, cut: str | Column) -> DataFrame:
+    """Rows older than the cut and what becomes of them: pinned ones are ignored, unpinned ones end the
+    increment."""
+    marked = mark_feed_stop(df, until=cut)
+    fate = F.when(F.col("is_top"), "ignored").otherwise("end of increment")
+    return marked.where("is_old").drop("is_old", "stop_kind").withColumn("fate", fate)
+
+
+def normalize_pages(pages: DataFrame, base_url: str = DEFAULT_POST_URL) -> DataFrame:
+    """Landed feed pages to archive versions; pages the site rejected are left out."""
+    items = scan_feed_pages(pages, on_reject="skip")
+    versions = compact_post(normalize_feed_post(items, base_url=base_url), canonical=True)
+    return conform(versions).where(~is_blank("id"))
+
+
+def stream_ingest(
+    spark: SparkSession, landing: str, log: str, checkpoint: str, cut: Column | str | None = None,
+    base_url: str = DEFAULT_POST_URL,
+) -> StreamingQuery:
+    """Ingest everything that has landed since the last run, then stop.
+
+    ``landing`` holds JSON lines (feed, page, payload).  Rows older than ``cut`` are not taken; how many
+    there were is observed as ``late`` in the query progress."""
+    pages = spark.readStream.schema(LANDING_SCHEMA).json(landing)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = normalize_pages(batch, base_url)
+        if cut is not None:
+            marked = mark_feed_stop(rows, until=cut)
+            rows = marked.where(~F.col("is_old")).drop("is_old", "stop_kind")
+        rows.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    return (
+        pages.writeStream.queryName("feed_ingest").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame | None:
+    if not path_exists(spark, log):
+        return None
+    schema = T.StructType([*ARCHIVE.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).option("basePath", log).parquet(log)
+
+
+def compact_archive(spark: SparkSession, root: str, log: str, base_url: str = DEFAULT_POST_URL) -> DataFrame:
+    """Fold the log over the published archive, publish the result and return it.
+
+    Archive rows come first, then batches in order.  A post may show up twice in one batch, because it
+    moved to another page while the feed was read; the content hash settles such ties the same way on
+    every run."""
+    archive = read_published(spark, root, ARCHIVE)
+    fresh = read_log(spark, log)
+    parts = []
+    if archive is not None:
+        parts.append(archive.withColumn("__source", F.lit(-1).cast("bigint")))
+    if fresh is not None:
+        parts.append(fresh.withColumnRenamed("batch", "__source"))
+    if not parts:
+        raise ValueError("nothing to compact")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    tie = F.xxhash64(F.to_json(F.struct(*[f.name for f in ARCHIVE.fields])))
+    ordered = rows.withColumn("__tie", tie)
+    merged = merge_versions(ordered, "id", ["__source", "__tie"], base_url)
+    replace_published(conform(merged), root)
+    return read_published(spark, root, ARCHIVE)
+
+
+def stream_dedupe(
+    spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, key: str = "id"
+) -> StreamingQuery:
+    """Append rows whose key is not in the target yet, each key once, also across batches of this run.
+
+    The target itself is the memory of what was written, so state does not grow with the stream."""
+    rows = spark.readStream.schema(schema).json(source)
+    key_only = T.StructType([schema[key]])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Rows of an earlier attempt at this very batch do not count as "already written".
+        fresh = batch.where(~is_blank(key)).dropDuplicates([key])
+        if path_exists(spark, target):
+            done_schema = T.StructType([*key_only.fields, T.StructField("batch", T.LongType())])
+            done = spark.read.schema(done_schema).option("basePath", target).json(target).where(F.col("batch") != batch_id)
+            fresh = resume_anti(fresh, done, key)
+        fresh.write.mode("overwrite").json(f"{target}/batch={batch_id}")
+
+    return (
+        rows.writeStream.queryName("dedupe").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def write_ndjson_stream(
+    spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str
+) -> StreamingQuery:
+    """Copy a stream to compact JSON lines.  The file sink's commit log makes output exactly-once, and the
+    checkpoint is the resume point."""
+    rows = spark.readStream.schema(schema).json(source)
+    return (
+        rows.writeStream.queryName("ndjson").format("json").option("path", target)
+        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    )

@@ -97,7 +97,7 @@ def reply_summary(df: DataFrame, post: str = "post_id", page: str = "page", payl
     )
 
 
-def _metrics(df: DataFrame, payload: str) -> DataFrame:
+def stats_metrics(df: DataFrame, payload: str) -> DataFrame:
     """Metric columns of statistics payloads: ``data`` when the key exists, the payload itself otherwise."""
     v = F.try_parse_json(payload)
     parsed = df.withColumn("__v", v)
@@ -114,7 +114,7 @@ def scan_stats_payloads(df: DataFrame, inner_ids: DataFrame, payload: str = "pay
     (``inner_ids``: backtest_id, inner_id) is taken instead, but only with its core metrics present.
 
     ``df``: (backtest_id unique, payload).  Output: backtest_id, resolved_id and the metric columns."""
-    own = _metrics(df, payload)
+    own = stats_metrics(df, payload)
     names = [c for c in own.columns if c != "backtest_id"]
     usable = has_any_metrics()
     retry = (

@@ -1,0 +1,234 @@
+"""Sinks and file sources: derive files from the driver tables, read them back, compare the rows.
+
+Files go below the shared folder of the session (``spark.checkpoint.dir``)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F, types as T
+
+from postmart import sinks as K
+from postmart.functions.scalars import DEFAULT_POST_URL
+from postmart.operators import filters, windows as W
+from postmart.operators.aggregates import day_summary, page_integrity
+from postmart.session import checkpoint_dir
+from postmart.sinks.publish import STATE_SCHEMA, published_path, read_published
+from postmart.sources.files import scan_id_csv, scan_json_document, scan_jsonl_strict
+from postmart.sources import payloads as S
+from workload.q_archive import _SQL_UPSERT, upsert_sides
+from workload.registry import query
+from workload.views import TERMS  # noqa: F401
+
+
+def scratch(v) -> str:
+    return f"{checkpoint_dir(v.spark)}/{uuid.uuid4().hex}"
+
+
+_DOC = T.StructType([T.StructField("id", T.StringType()), T.StructField("published_at", T.StringType()), T.StructField("content", T.StringType())])
+_DIGEST = "SELECT id, published_at, md5(content) AS content FROM posts_v"
+
+
+def _digest(df):
+    return df.select("id", "published_at", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+@query("write_archive_jsonl", "SELECT id, published_at, md5(content) AS content, row_number() OVER (ORDER BY published_at DESC, id) AS line FROM posts_v")
+def _(v):
+    """The written lines in file order, numbered."""
+    from postmart.operators.ranking import global_rank
+
+    root = scratch(v)
+    path = K.write_archive_jsonl(v.posts().select("id", "published_at", "content"), root)
+    rows = v.spark.read.schema(_DOC).json(path)
+    placed = rows.select("*", F.element_at(F.split(F.col("_metadata.file_name"), "-"), 2).cast("int").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    # The order inside a file is the order of the partition that reads it.
+    numbered = placed.withColumn("key", F.monotonically_increasing_id())
+    return _digest_line(global_rank(numbered, [("file", False), ("at", False), ("key", False)], "line"))
+
+
+def _digest_line(df):
+    return df.select("id", "published_at", F.md5(F.col("content").cast("binary")).alias("content"), "line")
+
+
+@query("scan_jsonl_strict", _DIGEST)
+def _(v):
+    """Archive lines mixed with blank lines and lines that are not objects."""
+    root = scratch(v)
+    line = F.to_json(F.struct("id", "published_at", "content"))
+    noise = F.array(line, F.lit("   "), F.lit("[1,2]"), F.lit("17"))
+    v.posts().select(F.explode(noise).alias("value")).write.text(root)
+    return _digest(scan_jsonl_strict(v.spark, root, _DOC))
+
+
+@query("append_new_jsonl", _DIGEST)
+def _(v):
+    """Two overlapping batches, the first one twice; every id is written once."""
+    root, rows = scratch(v), v.posts().select("id", "published_at", "content")
+    even = rows.where(F.col("id").cast("bigint") % 2 == 0)
+    for batch in (even, even, rows):
+        K.append_new_jsonl(batch, root)
+    return _digest(v.spark.read.schema(_DOC).json(root))
+
+
+def _popular(v):
+    rows = filters.filter_popular(v.posts()).select(
+        "published_at", "title", F.col("author_name").alias("author"), "url", F.col("id").alias("post_id"), "id", "backtest_id",
+        "clone_count", "like_count", "reply_count", "view_count", F.lit(False).alias("is_best"))
+    return W.rank_output(rows).drop("id")
+
+
+_SQL_POPULAR = """
+SELECT published_at, title, author_name AS author, url, id AS post_id, backtest_id, clone_count, like_count, reply_count, view_count, false AS is_best
+FROM posts_v WHERE clone_count > 100 AND like_count > 50"""
+
+
+@query("write_ranked_csv", _SQL_POPULAR.replace("backtest_id,", "nullif(backtest_id, '') AS backtest_id,"))
+def _(v):
+    root = scratch(v)
+    K.write_ranked_csv(_popular(v), root)
+    schema = ", ".join(
+        f"{c} " + ("bigint" if c.endswith("count") else "boolean" if c == "is_best" else "string") for c in K.publish.RANKED_COLUMNS)
+    return v.spark.read.schema(schema).csv(root, header=True, escape='"')
+
+
+@query("write_json_document", f"SELECT *, (SELECT count(*) FROM ({_SQL_POPULAR}) c) AS stated FROM ({_SQL_POPULAR}) p")
+def _(v):
+    """The document's lines, glued in file order, parse as one JSON value."""
+    root = scratch(v)
+    path = K.write_json_document(_popular(v), root)
+    # Head and tail lines lose their bracket halves so that every line is a value of its own.
+    lines = v.spark.read.text(path)
+    item = F.regexp_replace("value", "^,", "")
+    stated = lines.where(F.col("value").startswith('{"count"')).select(F.regexp_extract("value", r"(\d+)", 1).cast("bigint").alias("stated"))
+    schema = ", ".join(
+        f"{c} " + ("bigint" if c.endswith("count") else "boolean" if c == "is_best" else "string") for c in K.publish.RANKED_COLUMNS)
+    items = lines.where(item.startswith('{"published_at"')).select(F.from_json(item, schema).alias("r")).select("r.*")
+    return items.withColumn("stated", stated.scalar())
+
+
+@query("scan_json_document", "SELECT c_custkey, c_name FROM customer")
+def _(v):
+    """One document per market segment and nation, each with its own items."""
+    root = scratch(v)
+    c = v.table("customer")
+    c.select("c_custkey", "c_name", (F.col("c_custkey") % 8).alias("part")).groupBy("part").agg(
+        F.collect_list(F.struct("c_custkey", "c_name")).alias("items")).select("items").write.json(root)
+    item = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType())])
+    docs = v.spark.read.text(root)
+    docs.write.option("maxRecordsPerFile", 1).text(root + "/one")
+    return scan_json_document(v.spark, root + "/one", item)
+
+
+@query("scan_id_csv", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events WHERE user_id % 3 <> 0")
+def _(v):
+    root = scratch(v)
+    ids = v.table("events").select(
+        "event_type", F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string")).otherwise("").alias("id"))
+    ids.write.option("header", True).csv(root)
+    return scan_id_csv(v.spark, root)
+
+
+@query("write_upsert", _SQL_UPSERT)
+def _(v):
+    """Upsert through a published table: first the target, then the batch."""
+    root = scratch(v)
+    target, incoming = upsert_sides(v)
+    K.upsert_table(target, root, "id")
+    K.upsert_table(incoming, root, "id")
+    return read_published(v.spark, root)
+
+
+@query("upsert_partitions", _SQL_UPSERT.replace("SELECT c_custkey AS id", "SELECT c_custkey % 8 AS part, c_custkey AS id").replace("SELECT -1 - s_suppkey", "SELECT s_suppkey % 4, -1 - s_suppkey"))
+def _(v):
+    """Upsert into a partitioned table; only touched partitions are rewritten."""
+    root = scratch(v)
+    target, incoming = upsert_sides(v)
+    part = F.when(F.col("id") >= 0, F.col("id") % 8).otherwise((-1 - F.col("id")) % 4).alias("part")
+    K.upsert_partitions(target.select("*", part), root, "id", "part")
+    K.upsert_partitions(incoming.select("*", part), root, "id", "part")
+    schema = f"{', '.join(f'{n} {t}' for n, t in target.dtypes)}, part bigint"
+    return v.spark.read.schema(schema).parquet(root)
+
+
+@query("publish_snapshot", "SELECT 'records' AS part, count(*) AS n FROM days_v WHERE NOT is_limit UNION ALL SELECT 'days', count(*) FROM (SELECT DISTINCT sim_id, requested_date FROM days_v WHERE NOT is_limit) d")
+def _(v):
+    """A complete snapshot is published; a truncated one afterwards is refused and changes nothing."""
+    root = scratch(v)
+    records = v.days().withColumn("kind", F.lit("orders"))
+
+    def parts_of(rows):
+        days = day_summary(rows)
+        truncated = days.where(~F.col("complete")).select(F.concat(F.lit("truncated "), "requested_date").alias("problem"))
+        return {"records": rows, "days": days.withColumn("record_dates", F.array_join("record_dates", ","))}, truncated
+
+    K.publish_snapshot(*parts_of(records.where(~F.col("is_limit"))), root)
+    try:
+        K.publish_snapshot(*parts_of(records), root)
+    except K.publish.IncompleteSnapshot:
+        pass
+    path = published_path(v.spark, root)
+    counts = [v.spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n")) for p in ("records", "days")]
+    return counts[0].unionByName(counts[1])
+
+
+@query("write_run_state", """
+SELECT 'sync' AS section, 'items_total' AS k, CAST(count(*) AS VARCHAR) AS v FROM documents UNION ALL SELECT 'sync', 'fetched', '7' UNION ALL SELECT 'list', 'done', 'true'""")
+def _(v):
+    root = scratch(v)
+    K.write_run_state(v.spark, {"items_total": 1, "fetched": 7}, "sync", root)
+    K.write_run_state(v.spark, {"done": True}, "list", root)
+    K.write_run_state(v.spark, {"items_total": v.table("documents").count()}, "sync", root)
+    state = read_published(v.spark, root, STATE_SCHEMA)
+    return state.select("section", F.explode("metrics").alias("k", "v"))
+
+
+def _landed(v, root: str):
+    """Feed pages as landed files: odd pages first, then even pages, page 1 again."""
+    from workload.q_feed import feed_payloads
+
+    pages = feed_payloads(v)
+    pages.where(F.col("page") % 2 == 1).write.json(f"{root}/landing")
+    return pages
+
+
+@query("stream_ingest", f"""
+SELECT id, 't ' || id AS title, '{DEFAULT_POST_URL}' || id AS url, published_at, is_top FROM feed_v WHERE page % 10 <> 7""")
+def _(v):
+    """Two runs of the same stream with re-delivered pages, each followed by a compaction."""
+    from postmart.streaming.ingest import compact_archive, stream_ingest
+
+    root = scratch(v)
+    pages = _landed(v, root)
+    run = lambda: stream_ingest(v.spark, f"{root}/landing", f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    run()
+    compact_archive(v.spark, f"{root}/archive", f"{root}/log")
+    pages.where((F.col("page") % 2 == 0) | (F.col("page") == 1)).write.mode("append").json(f"{root}/landing")
+    run()
+    archive = compact_archive(v.spark, f"{root}/archive", f"{root}/log")
+    return archive.select("id", "title", "url", "published_at", "is_top")
+
+
+@query("stream_dedupe", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events")
+def _(v):
+    from postmart.streaming.ingest import stream_dedupe
+
+    root = scratch(v)
+    ids = v.table("events").select(F.col("user_id").cast("string").alias("id"), "event_id")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("event_id", T.LongType())])
+    for half in (0, 1):
+        ids.where(F.col("event_id") % 2 == half).write.mode("append").json(f"{root}/in")
+        stream_dedupe(v.spark, f"{root}/in", schema, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return v.spark.read.schema(schema).json(f"{root}/out").select("id")
+
+
+@query("write_ndjson_stream", "SELECT event_id, event_type, value FROM events")
+def _(v):
+    from postmart.streaming.ingest import write_ndjson_stream
+
+    root = scratch(v)
+    rows = v.table("events").select("event_id", "event_type", "value")
+    for half in (0, 1):
+        rows.where(F.col("event_id") % 2 == half).write.mode("append").json(f"{root}/in")
+        write_ndjson_stream(v.spark, f"{root}/in", rows.schema, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return v.spark.read.schema(rows.schema).json(f"{root}/out")

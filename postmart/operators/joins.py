@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, functions as F
 
 from postmart.functions.scalars import is_blank, nonblank
@@ -58,23 +60,28 @@ def attach_labels(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
 
-def post_detail(posts: DataFrame, labels: DataFrame, archives: DataFrame, runs: DataFrame) -> DataFrame:
-    """Everything known about posts: one row per (post, run), posts without runs once.
+class PostDetail(NamedTuple):
+    """Posts with their labels and archive nested, and their runs as rows of their own."""
+
+    posts: DataFrame
+    runs: DataFrame
+
 
-    Labels (bounded by the rule set) and the archive are nested; runs stay rows, because one post may
-    own any number of them.  Sort by (id, run_id desc) to show them newest first."""
-    label_rows = labels.groupBy("post_id").agg(
+def post_detail(posts: DataFrame, labels: DataFrame, archives: DataFrame, runs: DataFrame) -> PostDetail:
+    """Everything known about the given posts.
+
+    Labels (at most one per rule) and the archive (at most one) are nested into the post.  Runs are not:
+    one post may own any number of them.  They come newest first, linked by ``post_id``."""
+    label_rows = labels.groupBy(F.col("post_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("label", "score", "reason"))).alias("labels")
     )
-    archive = archives.select("post_id", F.struct(*[c for c in archives.columns if c != "post_id"]).alias("archive"))
-    run = runs.select("post_id", F.col("id").alias("run_id"), F.struct(*runs.columns).alias("run"))
-    post = posts.withColumnRenamed("id", "post_id")
-    return (
-        post.join(label_rows, "post_id", "left")
-        .join(archive, "post_id", "left")
-        .join(run, "post_id", "left")
-        .withColumnRenamed("post_id", "id")
+    archive = archives.select(
+        F.col("post_id").alias("id"), F.struct(*[c for c in archives.columns if c != "post_id"]).alias("archive")
     )
+    shown = posts.join(label_rows, "id", "left").join(archive, "id", "left")
+    wanted = posts.select(F.col("id").alias("post_id"), F.lit(True).alias("__wanted"))
+    own = join_facts(runs, wanted, "post_id", ["id"]).where("__wanted").drop("__wanted")
+    return PostDetail(shown, own.orderBy("post_id", F.desc("id")))
 
 
 def enrich_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -134,10 +141,9 @@ def resolve_internal_id(ids: DataFrame, items: DataFrame, pos: str = "pos") -> D
         items.where(~is_blank("name")).select("name", internal.alias("internal"), F.col(pos).alias("p"))
         .groupBy("name").agg(F.min_by("internal", "p").alias("by_name"))
     )
-    return (
-        ids.join(by_id, "wanted", "left").join(by_name, "name", "left")
-        .select("wanted", F.coalesce("by_id", "by_name", "wanted").alias("internal_id"))
-    )
+    known = join_facts(ids, by_id, "wanted", ["wanted"])
+    named = join_facts(known, by_name, "name", ["wanted"], never=is_blank("name") | F.col("by_id").isNotNull())
+    return named.select("wanted", F.coalesce("by_id", "by_name", "wanted").alias("internal_id"))
 
 
 def find_new_item(before: DataFrame, after: DataFrame, top: int = 20) -> DataFrame:

@@ -47,13 +47,15 @@ def walk_folders(edges: DataFrame, roots: DataFrame) -> DataFrame:
     )
     visited = frontier
     while not frontier.isEmpty():
-        reached = frontier.join(edges, frontier["folder"] == edges["parent"]).select(
+        # A folder with very many children is a hot key of the edge side only; see join_facts.
+        known = frontier.withColumnRenamed("folder", "parent")
+        reached = join_facts(edges, known, "parent", ["child", "pos"]).where(F.col("depth").isNotNull()).select(
             F.col("child").alias("folder"),
             (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"),
         )
-        fresh = reached.join(visited.select("folder"), "folder", "left_anti")
-        frontier = cut_lineage(first_wins(fresh, "folder", ["depth", "path"]))
+        first = first_wins(reached, "folder", ["depth", "path"])
+        frontier = cut_lineage(first.join(visited.select("folder"), "folder", "left_anti"))
         visited = cut_lineage(visited.unionByName(frontier))
     return visited
 

@@ -130,7 +130,7 @@ def mark_import(rows: DataFrame, existing: DataFrame, line: str = "line_no") ->
     joined back on (key, line), which spreads a huge key over all tasks."""
     ids = existing.where(~is_blank("id")).select("id", F.lit(True).alias("__id_known")).distinct()
     keys = existing.where(~is_blank("logical_key")).select("logical_key", F.lit(True).alias("__key_known")).distinct()
-    by_id = rows.join(ids, "id", "left")
+    by_id = join_facts(rows, ids, "id", [line])
     tagged = join_facts(by_id, keys, "logical_key", [line])
     open_row = ~is_blank("id") & F.col("__id_known").isNull() & F.col("__key_known").isNull()
     first = (

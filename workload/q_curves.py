@@ -58,16 +58,17 @@ def _(v):
 
 
 def day_payloads(v, kind: str):
-    """One payload per simulation and requested day."""
+    """Payloads of simulations and requested days, at most 1024 rows each."""
     key = S.DAY_RECORD_KEYS[kind]
     row = F.struct("item_no", F.col("record_time").alias("date" if kind == "positions" else "time"))
-    days = v.days().groupBy("sim_id", "requested_date").agg(F.collect_list(row).alias(key), F.bool_or("is_limit").alias("isLimit"))
+    slot = F.floor(F.col("item_no") / 1024).alias("slot")
+    days = v.days().groupBy("sim_id", "requested_date", slot).agg(F.collect_list(row).alias(key), F.bool_or("is_limit").alias("isLimit"))
     data = F.struct(key, F.when(F.col("isLimit"), "True").otherwise("0").alias("isLimit"))
     return days.select("sim_id", "requested_date", F.to_json(F.struct(F.lit("0").alias("status"), data.alias("data"))).alias("payload"))
 
 
 @query("scan_day_records", """
-SELECT d.sim_id, k.kind, d.requested_date, d.record_time, d.item_no AS order_key, (SELECT bool_or(x.is_limit) FROM days_v x WHERE x.sim_id = d.sim_id AND x.requested_date = d.requested_date) AS is_limit
+SELECT d.sim_id, k.kind, d.requested_date, d.record_time, d.item_no AS order_key, (SELECT bool_or(x.is_limit) FROM days_v x WHERE x.sim_id = d.sim_id AND x.requested_date = d.requested_date AND x.item_no // 1024 = d.item_no // 1024) AS is_limit
 FROM days_v d, (VALUES ('positions'), ('orders')) k(kind)""")
 def _(v):
     parts = [S.scan_day_records(day_payloads(v, kind), kind) for kind in S.DAY_RECORD_KEYS]

@@ -192,19 +192,25 @@ def _(v):
 
 
 @query("post_detail", """
-SELECT p.id, md5(p.content) AS content, a.status AS archive_status, r.id AS run_id, r.status AS run_status,
+SELECT p.id, md5(p.content) AS content, a.status AS archive_status,
  coalesce((SELECT string_agg(l.label || '=' || l.reason, '|' ORDER BY l.label) FROM labels_v l WHERE l.post_id = p.id), '') AS labels
-FROM posts_v p LEFT JOIN archives_v a ON a.post_id = p.id LEFT JOIN runs_v r ON r.post_id = p.id""")
+FROM posts_v p LEFT JOIN archives_v a ON a.post_id = p.id""")
 def _(v):
     posts = v.posts()
-    detail = J.post_detail(posts, label_posts(posts, TERMS), v.archives(), v.runs())
+    detail = J.post_detail(posts, label_posts(posts, TERMS), v.archives(), v.runs()).posts
     labels = F.array_join(F.transform("labels", lambda x: F.concat(x["label"], F.lit("="), x["reason"])), "|")
     return detail.select(
         "id", F.md5(F.col("content").cast("binary")).alias("content"), F.col("archive.status").alias("archive_status"),
-        "run_id", F.col("run.status").alias("run_status"), F.coalesce(labels, F.lit("")).alias("labels"),
+        F.coalesce(labels, F.lit("")).alias("labels"),
     )
 
 
+@query("post_detail_runs", "SELECT r.* FROM runs_v r JOIN posts_v p ON p.id = r.post_id WHERE p.sharpe IS NOT NULL")
+def _(v):
+    posts = v.posts().where(F.col("sharpe").isNotNull())
+    return J.post_detail(posts, label_posts(posts, TERMS), v.archives(), v.runs()).runs
+
+
 @query("count_matching", "SELECT count(*) AS total FROM posts_v WHERE sharpe >= 2 AND published_at >= '2023-01-10'")
 def _(v):
     return A.count_matching(filters.filter_ranges(v.posts(), published_from="2023-01-10", min_sharpe="2"))

@@ -109,10 +109,10 @@ def _(v):
 
 @query("scan_json_document", "SELECT c_custkey, c_name FROM customer")
 def _(v):
-    """One document per market segment and nation, each with its own items."""
+    """Documents of at most 10,000 items, one file each."""
     root = scratch(v)
     c = v.table("customer")
-    c.select("c_custkey", "c_name", (F.col("c_custkey") % 8).alias("part")).groupBy("part").agg(
+    c.select("c_custkey", "c_name", F.floor(F.col("c_custkey") / 10000).alias("part")).groupBy("part").agg(
         F.collect_list(F.struct("c_custkey", "c_name")).alias("items")).select("items").write.json(root)
     item = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType())])
     docs = v.spark.read.text(root)

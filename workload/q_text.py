@@ -119,21 +119,23 @@ def _(v):
 
 
 def tree(v):
-    """Folders: root, regions, nations; items: customers.  Nations are also listed under the next region,
-    so visits repeat."""
+    """Folders: root, regions, nations, customers.  Nations are also listed under the next region and
+    list the root again, so visits repeat."""
     r, n = v.table("region"), v.table("nation")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     top = r.select(F.lit("root").alias("parent"), name("r", "r_regionkey").alias("child"), F.col("r_regionkey").alias("pos"))
     mid = n.select(name("r", "n_regionkey").alias("parent"), name("n", "n_nationkey").alias("child"), F.col("n_nationkey").alias("pos"))
     again = n.select(F.concat(F.lit("r"), (F.col("n_regionkey") + 1).cast("string")).alias("parent"), name("n", "n_nationkey").alias("child"), (F.col("n_nationkey") + 100).alias("pos"))
     up = n.select(name("n", "n_nationkey").alias("parent"), F.lit("root").alias("child"), F.lit(0).alias("pos"))
-    return top.unionByName(mid).unionByName(again).unionByName(up)
+    leaf = v.table("customer").select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child"), F.col("c_custkey").alias("pos"))
+    return top.unionByName(mid).unionByName(again).unionByName(up).unionByName(leaf)
 
 
 @query("walk_folders", """
 SELECT 'root' AS folder, 0 AS depth, '' AS path UNION ALL
 SELECT 'r' || r_regionkey, 1, CAST(r_regionkey AS VARCHAR) FROM region UNION ALL
-SELECT 'n' || n_nationkey, 2, n_regionkey || '/' || n_nationkey FROM nation""")
+SELECT 'n' || n_nationkey, 2, n_regionkey || '/' || n_nationkey FROM nation UNION ALL
+SELECT 'c' || c_custkey, 3, n_regionkey || '/' || n_nationkey || '/' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def _(v):
     roots = v.table("region").select(F.lit("root").alias("folder")).distinct()
     return U.walk_folders(tree(v), roots).select("folder", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))

@@ -175,11 +175,12 @@ def upsert_partitions(
     affected = table.join(touched, partition, "left_semi")
     incoming = incoming.withColumn(partition, F.col(partition).cast(table.schema[partition].dataType))
     merged = upsert_rows(affected, incoming, key, keep)
-    # A partition that lost its last key to another one would not be rewritten by the merge result.
-    emptied = touched.join(merged.select(partition).distinct(), partition, "left_anti")
-    if not emptied.isEmpty():
-        raise ValueError(f"a key moved out of a partition it was alone in; rewrite the table instead ({partition})")
+    # A partition whose last key moves elsewhere gets no new files; it is dropped after the others are in.
+    left = {row[0] for row in touched.join(merged.select(partition).distinct(), partition, "left_anti").collect()}
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for value in left:
+        name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
+        _delete(spark, f"{path}/{partition}={name}")
 
 
 def publish_snapshot(parts: dict[str, DataFrame], problems: DataFrame, root: str) -> str:

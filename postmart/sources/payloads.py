@@ -36,7 +36,7 @@ def _accepted(df: DataFrame, payload: str, on_reject: str) -> DataFrame:
     if on_reject == "skip":
         return pages.where(F.col("reject_reason").isNull()).drop("reject_reason")
     if on_reject == "raise":
-        guard = F.when(F.col("reject_reason").isNotNull(), F.raise_error("reject_reason").cast("boolean")).otherwise(True)
+        guard = F.when(F.col("reject_reason").isNotNull(), F.raise_error(F.col("reject_reason")).cast("boolean")).otherwise(True)
         return pages.where(guard).drop("reject_reason")
     raise ValueError("on_reject must be 'skip' or 'raise'")
 

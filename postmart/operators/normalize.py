@@ -10,8 +10,8 @@ from postmart.functions import scalars as X
 from postmart.functions.labels import CANDIDATE_LABEL
 from postmart.schemas import ARCHIVE, INDEX_COLUMNS, POST_COLUMNS
 
-# Everything that ends a line of text, besides the line feed.
-LINE_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+# Characters that end a line of text, besides the line feed.
+LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def _text(v: Column, path: str) -> Column:
@@ -283,7 +283,7 @@ def build_post_index(posts: DataFrame, labels_text: str | None = None) -> DataFr
 def flatten_reply_tree(df: DataFrame, reply: str = "reply", keys: tuple[str, ...] = ("post_id",)) -> DataFrame:
     """Nested replies (variant column) to flat rows, parents before children by ``path``.
 
-    One explode per nesting level until a level is empty; every level is checkpointed, so deep threads
+    One explode per nesting level until a level is empty; every level is stored, so deep threads
     do not build a deep plan."""
     from postmart.session import cut_lineage
 
@@ -424,19 +424,29 @@ def refresh_marker_block(df: DataFrame, column: str, begin: str, end: str, block
     Running it again changes nothing.
 
     The text is cut at its ``begin`` lines; every piece but the first keeps only what follows its first
-    ``end`` line.  That is linear in the text, where folding over an array of lines is not."""
-    text = F.concat(F.lit("\n"), F.regexp_replace(F.col(column), LINE_BREAK, "\n"))
+    ``end`` line.  That is linear in the text, where folding over an array of lines is not.  Texts without
+    a marker, the usual case, meet no pattern at all."""
+    # Most texts have plain line feeds only; looking is much cheaper than rewriting.
+    plain = F.translate(F.replace(F.col(column), F.lit("\r\n"), F.lit("\n")), LINE_BREAKS, "\n" * len(LINE_BREAKS))
+    unix = F.when(F.col(column).rlike(f"[{LINE_BREAKS}]"), plain).otherwise(F.col(column))
     begin_line, end_line = rf"\n[^\n]*{re.escape(begin)}[^\n]*", rf"\n[^\n]*{re.escape(end)}[^\n]*"
-    pieces = F.split(text, begin_line)
-    kept = F.transform(
-        pieces,
-        lambda piece, i: F.when(i == 0, piece).otherwise(F.regexp_extract(piece, rf"(?s){end_line}(.*)\z", 1)),
-    )
-    joined = F.regexp_replace(F.array_join(kept, ""), end_line, "")
-    body = X.rstrip_ws(F.substring(joined, 2, 2**31 - 1))
-    return df.withColumn(
-        column, F.when(body == "", F.lit(block + "\n")).otherwise(F.concat(body, F.lit("\n\n" + block + "\n")))
-    )
+    after_end = rf"(?s){end_line}(.*)\z"
+
+    def cut(text: Column) -> Column:
+        pieces = F.split(F.concat(F.lit("\n"), text), begin_line)
+        kept = F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(F.regexp_extract(piece, after_end, 1)))
+        return F.substring(F.regexp_replace(F.array_join(kept, ""), end_line, ""), 2, 2**31 - 1)
+
+    def rewrite(text: Column) -> Column:
+        body = X.rstrip_ws(F.when(text.contains(begin) | text.contains(end), cut(text)).otherwise(text))
+        return _once(body, lambda b: F.concat(b, F.when(b == "", "").otherwise("\n\n"), F.lit(block + "\n")))
+
+    return df.withColumn(column, _once(unix, rewrite))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def decode_payload(df: DataFrame, content: str = "content", kind: str = "format") -> DataFrame:

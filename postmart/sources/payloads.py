@@ -11,6 +11,7 @@ from postmart.functions.scalars import flag01, float_or_null, int_strict, is_bla
 from postmart.operators.filters import ANY_METRICS, CORE_METRICS, has_any_metrics, has_core_metrics
 from postmart.operators.normalize import truthy
 from postmart.operators.skew import join_facts
+from postmart.session import cut_lineage
 
 OK_CODE = "00000"
 
@@ -114,7 +115,8 @@ def scan_stats_payloads(df: DataFrame, inner_ids: DataFrame, payload: str = "pay
     (``inner_ids``: backtest_id, inner_id) is taken instead, but only with its core metrics present.
 
     ``df``: (backtest_id unique, payload).  Output: backtest_id, resolved_id and the metric columns."""
-    own = stats_metrics(df, payload)
+    # Three uses follow; parsing JSON three times costs more than one write of a few typed columns.
+    own = cut_lineage(stats_metrics(df, payload))
     names = [c for c in own.columns if c != "backtest_id"]
     usable = has_any_metrics()
     retry = (

@@ -8,6 +8,7 @@ from postmart.functions.labels import CANDIDATE_LABEL, label_posts
 from postmart.operators import aggregates as A, filters, joins as J, sorting as S, windows as W
 from postmart.operators.normalize import build_post_index
 from postmart.plans.serve import list_posts, refresh_labels, reindex
+from postmart.session import cut_lineage
 from workload.registry import query
 from workload.views import TERMS
 
@@ -32,7 +33,12 @@ FROM page p LEFT JOIN archives_v a ON a.post_id = p.id LEFT JOIN last_run r ON r
 def _listing(v, **params):
     """The page with labels as text and the total on every row, so that one result shows both."""
     posts = v.posts()
-    listing = list_posts(reindex(posts, TERMS), v.archives(), v.runs(), label_posts(posts, TERMS), **params)
+    # For the listing, index and labels are stored tables; here they are derived from the documents and
+    # the index is stored first.
+    index = cut_lineage(reindex(posts, TERMS))
+    names = F.explode(F.split(F.trim(F.col("labels_text"), F.lit("|")), r"\|"))
+    labels = index.where(F.col("labels_text") != "").select(F.col("id").alias("post_id"), names.alias("label"))
+    listing = list_posts(index, v.archives(), v.runs(), labels, **params)
     page = listing.page.withColumn("labels", F.array_join("labels", "|"))
     page = page.withColumn("content_preview", F.md5(F.col("content_preview").cast("binary")))
     return page.withColumn("total", listing.total.scalar())

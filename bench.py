@@ -18,6 +18,8 @@ HEADLINE = [
     "series_to_points", "check_offsets", "day_summary", "rank_output", "refresh_marker_block", "extract_html_rows",
 ]
 
+LONG = 8.0
+
 
 def main() -> None:
     from pyspark.sql import SparkSession
@@ -41,11 +43,12 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         best = None
-        for _ in range(2):
+        # A second run shows the time without code generation; long queries are run once.
+        while best is None or (runs < 2 and best < LONG):
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
-            best = took if best is None else min(best, took)
+            best, runs = (took, 1) if best is None else (min(best, took), runs + 1)
         times[name] = round(best, 3)
         print(f"{name} {best:.2f}s", file=sys.stderr, flush=True)
     spark.stop()

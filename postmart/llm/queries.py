@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postmart.llm import exact_dedup, mixing, simhash, url_filter
+from postmart.llm import chat_format, exact_dedup, mixing, neighbours, packing, simhash, url_filter
 from postmart.llm.common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(chat_format.PROBE_ID, turn, role) for turn, role in enumerate(("user", "assistant"))]
+    rows = [f"struct({c} AS conv_id, {t} AS turn, '{r}' AS role)" for c, t, r in probe]
+    added = spark.range(1).select(F.explode(F.expr(f"array({', '.join(rows)})")).alias("x")).select("x.*", F.lit(chat_format.PROBE).alias("text"))
+    return chat_format.digest(chat_format.format_chats(turns.unionByName(added.select(*turns.columns))))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_copies(table(spark, sf_dir, "documents"))
 
@@ -26,7 +44,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """(queries, SQL of those that SQL can express)."""
-    queries = [op2_exact_dedup, op7_mixing, op8_simhash, op9_url_filter]
-    return {f.__name__: f for f in queries}, {"op2_exact_dedup": exact_dedup.SQL, "op9_url_filter": url_filter.SQL}
+    queries = [op1_packing, op2_exact_dedup, op4_chat_format, op7_mixing, op8_simhash, op9_url_filter, op10_neighbours]
+    sql = {
+        "op2_exact_dedup": exact_dedup.SQL,
+        "op4_chat_format": chat_format.SQL,
+        "op9_url_filter": url_filter.SQL,
+        "op10_neighbours": neighbours.SQL,
+    }
+    return {f.__name__: f for f in queries}, sql

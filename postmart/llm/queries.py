@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postmart.llm import chat_format, exact_dedup, mixing, neighbours, packing, simhash, url_filter
+from postmart.llm import chat_format, exact_dedup, language, mixing, neighbours, packing, quality, simhash, url_filter
 from postmart.llm.common import table
 
 
@@ -24,6 +24,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def _remainder(column: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder("id", 3) != 1)
+    return scored.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = [(chat_format.PROBE_ID, turn, role) for turn, role in enumerate(("user", "assistant"))]
@@ -32,6 +42,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns.unionByName(added.select(*turns.columns))))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), _remainder("doc_id", 5) != 0)
+    return found.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_copies(table(spark, sf_dir, "documents"))
 
@@ -50,7 +65,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """(queries, SQL of those that SQL can express)."""
-    queries = [op1_packing, op2_exact_dedup, op4_chat_format, op7_mixing, op8_simhash, op9_url_filter, op10_neighbours]
+    queries = [op1_packing, op2_exact_dedup, op3_quality, op4_chat_format, op5_language, op7_mixing, op8_simhash, op9_url_filter, op10_neighbours]
     sql = {
         "op2_exact_dedup": exact_dedup.SQL,
         "op4_chat_format": chat_format.SQL,

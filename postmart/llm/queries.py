@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postmart.llm import chat_format, exact_dedup, language, mixing, neighbours, packing, quality, simhash, url_filter
+from postmart.llm import chat_format, exact_dedup, language, mixing, neighbours, packing, quality, simhash, substring, url_filter
 from postmart.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_copies(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """(queries, SQL of those that SQL can express)."""
-    queries = [op1_packing, op2_exact_dedup, op3_quality, op4_chat_format, op5_language, op7_mixing, op8_simhash, op9_url_filter, op10_neighbours]
+    queries = [op1_packing, op2_exact_dedup, op3_quality, op4_chat_format, op5_language, op6_substring, op7_mixing, op8_simhash, op9_url_filter, op10_neighbours]
     sql = {
         "op2_exact_dedup": exact_dedup.SQL,
         "op4_chat_format": chat_format.SQL,

@@ -12,6 +12,8 @@ from postmart.functions.scalars import DEFAULT_POST_URL, default_url, is_blank
 # A struct by this name is replaced as a whole, and only by one with content; every other struct
 # merges field by field.
 WHOLE_STRUCTS = ("stats",)
+# JSON text that is overwritten only by text with content: an empty list or object is blank here.
+JSON_TEXTS = ("bounty",)
 
 
 def has_content(col: Column, dtype: T.StructType) -> Column:
@@ -19,10 +21,12 @@ def has_content(col: Column, dtype: T.StructType) -> Column:
     return F.coalesce(reduce(or_, [col[f.name].isNotNull() for f in dtype.fields]), F.lit(False))
 
 
-def _winner(value: Column, dtype: T.DataType, order: Column) -> Column:
+def _winner(value: Column, dtype: T.DataType, order: Column, json_text: bool = False) -> Column:
     """The last non-blank value along ``order``; failing that any blank one; NULL if never present."""
     if isinstance(dtype, T.StructType):
         blank = ~has_content(value, dtype)
+    elif json_text:
+        blank = is_blank(value, dtype) | F.regexp_replace(value, r"\s", "").isin("[]", "{}", "null", '""')
     else:
         blank = is_blank(value, dtype)
     last = F.max_by(value, F.when(~blank, order))
@@ -54,7 +58,7 @@ def merge_versions(
                 parts.append(F.col(name).alias(sub.name))
             rebuilt.append(F.struct(*parts).alias(f.name))
         else:
-            leaves.append(_winner(F.col(f.name), f.dataType, by).alias(f.name))
+            leaves.append(_winner(F.col(f.name), f.dataType, by, f.name in JSON_TEXTS).alias(f.name))
             rebuilt.append(F.col(f.name))
     merged = df.groupBy(key).agg(*leaves).select(key, *rebuilt)
     if base_url and "url" in merged.columns:

@@ -210,9 +210,9 @@ def pick_stats(df: DataFrame, column: str = "stats", fields: list[str] = X.STAT_
     return df.withColumn(column, F.map_filter(column, lambda k, _: k.isin(*fields)))
 
 
-def _first_truthy(*cols: Column) -> Column:
-    """First number that is neither missing nor zero, else NULL."""
-    return F.coalesce(*[F.nullif(c, F.lit(0.0)) for c in cols])
+def _or(first: Column, second: Column) -> Column:
+    """The first number unless it is missing or zero, then the second, whatever it is."""
+    return F.coalesce(F.nullif(first, F.lit(0.0)), second)
 
 
 def normalize_archive_post(
@@ -220,7 +220,7 @@ def normalize_archive_post(
 ) -> DataFrame:
     """Archive rows (``conform``-ed) to typed serving rows; rows without an id are dropped.
 
-    An annual return of zero falls through to the alternative field and then to NULL."""
+    An annual return of zero falls through to the alternative field, and is NULL without it."""
     have = set(df.columns)
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
     opt = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
@@ -252,7 +252,7 @@ def normalize_archive_post(
         F.coalesce(F.col("backtest.name"), F.lit("")).alias("backtest_name"),
         days.alias("trading_days"),
         X.period_years(days).alias("period_years"),
-        _first_truthy(stat("annual_algo_return"), other_annual).alias("annual_return"),
+        _or(stat("annual_algo_return"), other_annual).alias("annual_return"),
         stat("sharpe").alias("sharpe"),
         stat("max_drawdown").alias("max_drawdown"),
         whole(F.col("backtest.clone_count"), df.schema["backtest"].dataType["clone_count"].dataType).alias("clone_count"),

@@ -50,16 +50,18 @@ def split_running_sum(
     return rows.withColumn(name, F.sum(value).over(inside) + F.col(_BASE)).drop(_BUCKET, _BASE)
 
 
-def range_bucket(df: DataFrame, key: Column, ranges: int = 64, sample: int = 4096) -> DataFrame:
-    """Add ``__range``: which of about ``ranges`` slices of the ascending order of ``key`` a row is in.
+def range_bucket(df: DataFrame, key: Column, ranges: int | None = None) -> DataFrame:
+    """Add ``__range``: which of about ``ranges`` slices of the ascending order of ``key`` a row is in, by
+    default as many as the session has shuffle partitions.
 
     The cut points come from a hash-chosen sample of bounded size, so they only steer how evenly the
     work spreads; the slice of a row is an exact comparison with the cut points and any choice of cut
     points gives correct positions.  ``key`` should be unique per row so that ties cannot pile up."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = (
         df.select(key.alias("k"))
         .orderBy(F.xxhash64("k"))
-        .limit(sample)
+        .limit(64 * ranges)
         .agg(F.array_sort(F.collect_list("k")).alias("ks"))
         .select(
             F.filter("ks", lambda x, i: i % F.greatest(F.ceil(F.size("ks") / ranges), F.lit(1)) == 0).alias("cuts")
@@ -69,15 +71,17 @@ def range_bucket(df: DataFrame, key: Column, ranges: int = 64, sample: int = 409
     return with_cuts.withColumn("__range", F.size(F.filter("__cuts", lambda x: x <= key))).drop("__cuts")
 
 
-def global_rank(df: DataFrame, order: list[tuple[str, bool]], name: str = "rank", ranges: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order: list[tuple[str, bool]], name: str = "rank", ranges: int | None = None) -> DataFrame:
     """1-based position of every row in a total order, without a single-partition window.
 
-    ``order`` lists (numeric or string column, descending?).  Numeric columns may be descending; a
+    NULL comes first in ascending and last in descending columns.  ``order`` lists (numeric or string column, descending?).  Numeric columns may be descending; a
     string column must be ascending unless it is the leading one."""
     key_parts = []
     for i, (column, descending) in enumerate(order):
         if descending and dict(df.dtypes)[column] == "string":
             raise ValueError("string sort columns must be ascending")
+        if descending:
+            key_parts.append(F.col(column).isNull().alias(f"n{i}"))
         value = F.negative(F.coalesce(F.col(column), F.lit(0))) if descending else F.col(column)
         key_parts.append(value.alias(f"k{i}"))
     key = F.struct(*key_parts)

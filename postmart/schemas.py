@@ -71,6 +71,16 @@ ARCHIVE = T.StructType([
     ]
 ])
 
+# Archive lines as they may have been written: also the fields that stand in for missing ones.
+_FALLBACKS = {"backtest": T.StructType([
+    T.StructField("stats", T.StructType([*STATS.fields, T.StructField("annual_return", T.DoubleType())])) if f.name == "stats" else f
+    for f in BACKTEST.fields
+])}
+ARCHIVE_LINES = T.StructType([
+    *[T.StructField(f.name, _FALLBACKS.get(f.name, f.dataType)) for f in ARCHIVE.fields],
+    *[T.StructField(name, TEXT) for name in ("post_id", "requested_id", "author_name")],
+])
+
 # The typed serving row, and its projection without the content.
 POST_COLUMNS = [
     "id", "title", "url", "published_at", "updated_at", "author_name", "content", "content_preview",

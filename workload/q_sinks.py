@@ -94,16 +94,14 @@ def _(v):
 
 @query("write_json_document", f"SELECT *, (SELECT count(*) FROM ({_SQL_POPULAR}) c) AS stated FROM ({_SQL_POPULAR}) p")
 def _(v):
-    """The document's lines, glued in file order, parse as one JSON value."""
+    """The document is read back by its own reader, whatever number of part files it has."""
     root = scratch(v)
     path = K.write_json_document(_popular(v), root)
-    # Head and tail lines lose their bracket halves so that every line is a value of its own.
     lines = v.spark.read.text(path)
-    item = F.regexp_replace("value", "^,", "")
     stated = lines.where(F.col("value").startswith('{"count"')).select(F.regexp_extract("value", r"(\d+)", 1).cast("bigint").alias("stated"))
     schema = ", ".join(
         f"{c} " + ("bigint" if c.endswith("count") else "boolean" if c == "is_best" else "string") for c in K.publish.RANKED_COLUMNS)
-    items = lines.where(item.startswith('{"published_at"')).select(F.from_json(item, schema).alias("r")).select("r.*")
+    items = scan_json_document(v.spark, path, T.StructType.fromDDL(schema), lines=True)
     return items.withColumn("stated", stated.scalar())
 
 

@@ -63,7 +63,7 @@ def check_offsets(pages: DataFrame, series: str = "series_id", start: int = 0) -
     """Per page of a paged series: 'ok', or why paging did not move forward.
 
     ``pages``: (series, page numbered from 1, offset, count).  A page must start where the one before
-    it ended.  The neighbour is fetched with an equi-join on (series, page), which spreads one huge
+    it ended; an end page (count 0) may state any offset.  The neighbour is fetched with an equi-join on (series, page), which spreads one huge
     series over all tasks; a window over the series would not."""
     previous = pages.select(
         series, (F.col("page") + 1).alias("page"),
@@ -75,12 +75,18 @@ def check_offsets(pages: DataFrame, series: str = "series_id", start: int = 0) -
         F.when(F.col("count").isNull() | (F.col("count") < 0), "bad count")
         .when((F.col("page") > 1) & F.col("expected").isNull(), "missing page")
         .when((F.col("page") > 1) & (F.col("previous_count") <= 0), "page after the end")
-        .when(F.coalesce("offset", expected) != expected, "offset did not move forward")
+        .when((F.col("count") > 0) & (F.coalesce("offset", expected) != expected), "offset did not move forward")
         .otherwise("ok")
     )
     return joined.select(series, "page", "offset", "count", expected.alias("expected_offset"), verdict.alias("verdict"))
 
 
+def open_series(pages: DataFrame, series: str = "series_id") -> DataFrame:
+    """Series without an end page: their last page still has points, so more may follow."""
+    last = pages.groupBy(series).agg(F.max_by("count", "page").alias("count"))
+    return last.where(F.coalesce("count", F.lit(1)) != 0).select(series)
+
+
 def assemble_log(pages: DataFrame, start: int = 0, run: str = "run_id") -> DataFrame:
     """Lines of each run's log with their absolute offset.
 

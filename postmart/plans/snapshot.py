@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from postmart.operators.aggregates import day_summary, page_integrity, records_complete
 from postmart.operators.normalize import series_to_points
-from postmart.operators.windows import check_offsets
+from postmart.operators.windows import check_offsets, open_series
 
 
 def simulation_snapshot(
-    listing_pages: DataFrame, listing_items: DataFrame, records: DataFrame, series: DataFrame
+    listing_pages: DataFrame, listing_items: DataFrame, records: DataFrame, series: DataFrame,
+    expected_days: DataFrame | None = None, expected_series: DataFrame | None = None, intraday: DataFrame | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """The parts of a snapshot, and a frame with one row per reason not to publish it (empty = publish).
 
     ``records``: output of ``scan_day_records`` for positions and orders together; ``series``: output of
-    ``scan_series_pages``.  Empty curves are complete; nothing is filled in or carried forward."""
+    ``scan_series_pages``.  Empty curves are complete; nothing is filled in or carried forward.
+
+    ``expected_days`` (sim_id, kind, requested_date) and ``expected_series`` (series_id) are what was asked for:
+    a day or a curve without any payload is a reason too.  A curve must end with an empty page, except the
+    single pages of ``intraday`` (series_id)."""
     days = day_summary(records)
     listing = page_integrity(listing_pages, listing_items)
     offsets = check_offsets(series)
@@ -32,6 +37,19 @@ def simulation_snapshot(
             )
         )
     )
+    unfinished = open_series(series)
+    if intraday is not None:
+        unfinished = unfinished.join(intraday.select("series_id").distinct(), "series_id", "left_anti")
+    named = lambda what: F.concat(F.lit("curve "), F.col("series_id").cast("string"), F.lit(what)).alias("problem")
+    problems = problems.unionByName(unfinished.select(named(": no end page")))
+    if expected_series is not None:
+        problems = problems.unionByName(expected_series.join(series, "series_id", "left_anti").select(named(" is missing")))
+    if expected_days is not None:
+        keys = ["sim_id", "kind", "requested_date"]
+        gone = expected_days.select(*keys).distinct().join(days, keys, "left_anti")
+        problems = problems.unionByName(
+            gone.select(F.concat_ws(" ", "kind", F.lit("missing for"), F.col("sim_id").cast("string"), F.lit("on"), F.col("requested_date").cast("string")).alias("problem"))
+        )
     parts = {
         "listing": listing_items,
         "records": records,

@@ -186,11 +186,14 @@ def upsert_partitions(
 def publish_snapshot(parts: dict[str, DataFrame], problems: DataFrame, root: str) -> str:
     """Write all parts of a snapshot and publish them together, or raise and leave the old snapshot.
 
-    ``problems`` has one row per reason not to publish; nothing is merged with earlier snapshots."""
+    ``problems`` has one row per reason not to publish; nothing is merged with earlier snapshots.  A refusal
+    leaves all reasons as a table in ``root/refused`` and names their number and the first ones."""
     spark = problems.sparkSession
-    found = [row[0] for row in problems.limit(20).collect()]
-    if found:
-        raise IncompleteSnapshot("; ".join(found))
+    problems.write.mode("overwrite").parquet(f"{root}/refused")
+    reasons = spark.read.schema(problems.schema).parquet(f"{root}/refused")
+    if n := reasons.count():
+        first = "; ".join(row[0] for row in reasons.orderBy("problem").take(20))
+        raise IncompleteSnapshot(f"{n} reasons, all in {root}/refused: {first}")
 
     def write(folder: str) -> None:
         for name, frame in parts.items():

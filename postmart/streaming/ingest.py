@@ -78,14 +78,27 @@ def read_log(spark: SparkSession, log: str) -> DataFrame | None:
     return spark.read.schema(schema).option("basePath", log).parquet(log)
 
 
+_FOLDED = T.StructType([T.StructField("batch", T.LongType())])
+
+
 def compact_archive(spark: SparkSession, root: str, log: str, base_url: str = DEFAULT_POST_URL) -> DataFrame:
-    """Fold the log over the published archive, publish the result and return it.
+    """Fold the batches that are not folded yet over the published archive, publish the result and return it.
 
-    Archive rows come first, then batches in order.  A post may show up twice in one batch, because it
+    Which batch was folded last is published beside the archive, right after it, so that an old batch never
+    overwrites what was merged into the archive since.  A crash between the two folds the same batches once
+    more.  Archive rows come first, then batches in order.  A post may show up twice in one batch, because it
     moved to another page while the feed was read; the content hash settles such ties the same way on
     every run."""
     archive = read_published(spark, root, ARCHIVE)
+    ledger = f"{root}/folded"
+    folded = read_published(spark, ledger, _FOLDED)
+    done = -1 if folded is None or archive is None else folded.first()[0]
     fresh = read_log(spark, log)
+    if fresh is not None:
+        fresh = fresh.where(F.col("batch") > done)
+        last = fresh.agg(F.max("batch")).first()[0]
+        if last is None and archive is not None:
+            return archive
     parts = []
     if archive is not None:
         parts.append(archive.withColumn("__source", F.lit(-1).cast("bigint")))
@@ -98,6 +111,8 @@ def compact_archive(spark: SparkSession, root: str, log: str, base_url: str = DE
     ordered = rows.withColumn("__tie", tie)
     merged = merge_versions(ordered, "id", ["__source", "__tie"], base_url)
     replace_published(conform(merged), root)
+    if fresh is not None and last is not None:
+        replace_published(spark.range(1).select(F.lit(last).cast("bigint").alias("batch")), ledger)
     return read_published(spark, root, ARCHIVE)
 
 

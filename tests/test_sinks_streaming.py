@@ -122,6 +122,47 @@ def test_incomplete_snapshot_keeps_the_old_one(spark, folder):
     assert spark.read.parquet(first + "/points").count() == 0 and spark.read.parquet(first + "/listing").count() == 2
 
 
+def test_snapshot_notices_what_is_missing(spark):
+    def page(count, offset):
+        line = {"time": list(range(count)), "value": [0.5] * count}
+        return json.dumps({"data": {"state": "2", "result": {"count": count, "offset": offset, "overallReturn": line, "benchmark": line}}})
+
+    def reasons(pages, **expected):
+        (listing, items), records = _listing_and_records(spark)
+        series = S.scan_series_pages(spark.createDataFrame([(s, i, p) for s, i, p in pages], "series_id string, page bigint, payload string"))
+        _, problems = simulation_snapshot(listing, items, records, series, **expected)
+        return sorted(r[0] for r in problems.collect())
+
+    ended = [("a", 1, page(2, 0)), ("a", 2, page(0, 77))]  # an end page may state any offset
+    assert reasons(ended) == []
+    assert reasons([*ended, ("b", 1, page(3, 0))]) == ["curve b: no end page"]
+    assert reasons([("b", 1, page(3, 0))], intraday=spark.createDataFrame([("b",)], "series_id string")) == []
+    days = spark.createDataFrame([(1, "positions", "2024-01-01"), (1, "positions", "2024-01-02"), (2, "positions", "2024-01-01")], "sim_id bigint, kind string, requested_date string")
+    curves = spark.createDataFrame([("a",), ("c",)], "series_id string")
+    assert reasons(ended, expected_days=days, expected_series=curves) == [
+        "curve c is missing", "positions missing for 1 on 2024-01-02", "positions missing for 2 on 2024-01-01"]
+
+
+def _listing_and_records(spark):
+    listing = spark.createDataFrame([("all", 1, json.dumps({"data": {"totalCount": 1, "liveArr": [{"backtestId": 1}]}}))], "listing string, page bigint, payload string")
+    record = json.dumps({"data": {"isLimit": False, "position": [{"date": "2024-01-01"}]}})
+    records = S.scan_day_records(spark.createDataFrame([(1, "2024-01-01", record)], "sim_id bigint, requested_date string, payload string"), "positions")
+    return S.scan_simulation_pages(listing), records
+
+
+def test_compaction_never_goes_back_in_time(spark, folder):
+    root, log, checkpoint = folder + "/archive", folder + "/log", folder + "/cp"
+    land(folder, "a", "f", 1, [(1, "2024-01-05 00:00:00", "old", 0)])
+    I.stream_ingest(spark, folder + "/landing", log, checkpoint).awaitTermination()
+    archive = I.compact_archive(spark, root, log)
+    detail = archive.withColumn("title", F.lit("new title")).withColumn("view_count", F.lit(99).cast("bigint"))
+    K.publish.replace_published(detail, root)
+    assert values(I.compact_archive(spark, root, log), "title", "view_count") == [("new title", 99)]
+    land(folder, "b", "f", 1, [(2, "2024-01-06 00:00:00", "two", 0)])
+    I.stream_ingest(spark, folder + "/landing", log, checkpoint).awaitTermination()
+    assert sorted(values(I.compact_archive(spark, root, log), "id", "title")) == [("1", "new title"), ("2", "two")]
+
+
 def land(folder, name, feed, page, posts):
     os.makedirs(folder + "/landing", exist_ok=True)
     payload = json.dumps({"code": "00000", "data": {"list": [{"postId": i, "addTime": t, "title": x, "isTop": p} for i, t, x, p in posts]}})

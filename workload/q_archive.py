@@ -279,10 +279,11 @@ def _(v):
     return U.distinct_ids(v.table("events"), "user_id")
 
 
-@query("ids_except", "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders")
+@query("ids_except", "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P'")
 def _(v):
     after = v.table("customer").select(F.col("c_custkey").alias("id"))
-    return U.ids_except(after, v.table("orders").select(F.col("o_custkey").alias("id")))
+    before = v.table("orders").where(F.col("o_orderstatus") == "P")
+    return U.ids_except(after, before.select(F.col("o_custkey").alias("id")))
 
 
 @query("page_overlap", """

@@ -230,9 +230,19 @@ def _(v):
     return A.index_parity(posts, build_post_index(posts).where(F.col("sharpe").isNotNull()))
 
 
-@query("sort_posts", "SELECT id, published_at, sharpe, annual_return, period_years FROM posts_v ORDER BY sharpe DESC NULLS LAST, id DESC")
+def _in_place(df):
+    """Adds the place of each row in the order the frame comes in."""
+    from postmart.operators.ranking import global_rank
+    from postmart.session import cut_lineage
+
+    stored = cut_lineage(df.withColumn("__at", F.monotonically_increasing_id()))
+    return global_rank(stored, [("__at", False)], "place").drop("__at")
+
+
+@query("sort_posts", """
+SELECT id, published_at, sharpe, annual_return, period_years, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, id DESC) AS place FROM posts_v""")
 def _(v):
-    return S.sort_posts(v.posts(), "sharpe_desc").select("id", "published_at", "sharpe", "annual_return", "period_years")
+    return _in_place(S.sort_posts(v.posts(), "sharpe_desc").select("id", "published_at", "sharpe", "annual_return", "period_years"))
 
 
 @query("page_posts", """
@@ -242,10 +252,10 @@ def _(v):
 
 
 @query("sort_popular", """
-SELECT id, clone_count, like_count, published_at FROM posts_v WHERE clone_count > 100 AND like_count > 50
-ORDER BY clone_count DESC, like_count DESC, published_at, id""")
+SELECT id, clone_count, like_count, published_at, row_number() OVER (ORDER BY clone_count DESC, like_count DESC, published_at, id) AS place
+FROM posts_v WHERE clone_count > 100 AND like_count > 50""")
 def _(v):
-    return S.sort_popular(filters.filter_popular(v.posts())).select("id", "clone_count", "like_count", "published_at")
+    return _in_place(S.sort_popular(filters.filter_popular(v.posts())).select("id", "clone_count", "like_count", "published_at"))
 
 
 @query("rank_output", """

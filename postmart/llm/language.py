@@ -145,9 +145,10 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 def label_words(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Language of each word of many texts, by the best path of each.
 
-    Most texts are in one language.  Let b be the best language of a whole text.  If no stretch of words gains
-    the switching penalty by another language, no path beats b throughout: each stretch away from b takes at
-    least one change.  That is tested for all texts at once, and only the others are walked through."""
+    Most texts are in one language.  Let b be the best language of a whole text.  If no stretch of words gains half
+    the switching penalty by another language, no path beats b throughout: a path of n stretches away from b
+    gains less than n halves and changes n times, or n - 1 times (n > 1) if it is never in b.  That is tested
+    for all texts at once, and only the others are walked through."""
     if not len(doc):
         return doc
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -160,7 +161,7 @@ def label_words(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH) ->
         gain = np.cumsum(scores[:, k] - own)
         before = np.r_[0.0, gain[:-1]] - apart * text  # lower for each later text, so that minima stay inside
         rise = gain - (np.minimum.accumulate(before) + apart * text)
-        mixed |= np.maximum.reduceat(rise, starts) >= switch - 1e-3
+        mixed |= np.maximum.reduceat(rise, starts) >= switch / 2 - 1e-3
     ends = np.r_[starts[1:], len(doc)]
     for t in np.flatnonzero(mixed):
         path[starts[t] : ends[t]] = viterbi(scores[starts[t] : ends[t]], switch)

@@ -151,25 +151,33 @@ def _across(swept: DataFrame) -> DataFrame:
     return met.where("item").select(F.col("id").alias("item"), F.col("size").alias("length"), F.when(~F.col("last.item"), F.col("last.id")).alias("seq"))
 
 
-def _opening(left: DataFrame, capacity: int) -> tuple[Column, int | None] | None:
-    """Which of the unplaced documents open a sequence, and the longest length among the others; None if there
-    are no documents.  Those over half a sequence open one, and otherwise the largest, ``OPENED`` times as
+def _opening(left: DataFrame, capacity: int) -> tuple[Column, int | None, int]:
+    """Which of the unplaced documents open a sequence, the longest length among the others, and how many
+    there are.  Those over half a sequence open one, and otherwise the largest, ``OPENED`` times as
     many as their tokens need at least.  From the number of documents of each length (at most ``capacity``
     rows); of a length that is needed in part, hashes choose about that part and one document at least."""
     drawn = F.xxhash64("item")
     found = left.groupBy("length").agg(F.count(F.lit(1)), F.min(drawn)).collect()
     counts = sorted(map(tuple, found), reverse=True)
     if not counts:
-        return None
+        return F.lit(False), None, 0
+    total = sum(c for _, c, _ in counts)
     need = max(1, round(OPENED * sum(n * c for n, c, _ in counts) / capacity), sum(c for n, c, _ in counts if 2 * n > capacity))
     for k, (length, n, first) in enumerate(counts):
         if need == n:
-            return F.col("length") >= length, counts[k + 1][0] if k + 1 < len(counts) else None
+            return F.col("length") >= length, counts[k + 1][0] if k + 1 < len(counts) else None, total
         if need < n:
             some = (F.pmod(drawn, F.lit(1 << 30)) < int(need / n * (1 << 30))) | (drawn == first)
-            return (F.col("length") > length) | ((F.col("length") == length) & some), length
+            return (F.col("length") > length) | ((F.col("length") == length) & some), length, total
         need -= n
-    return F.lit(True), None
+    return F.lit(True), None, total
+
+
+def _tasks(rows: int) -> int:
+    """Tasks that write a round's tables: one for every 20,000 documents to be packed, as neither the documents nor
+    the gaps of a round are more.  Rounds write many tables, which need not be a file for each shuffle
+    partition where these hold less."""
+    return rows // 20_000 + 2
 
 
 def assign(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
@@ -180,7 +188,7 @@ def assign(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     the longest unplaced documents open sequences of their own, named after them."""
     placed: list[DataFrame] = []
     gaps = longest = None
-    waiting, turn = items, 0
+    waiting, turn, rows = items, 0, 0
     while turn == 0 or longest is not None:
         used, left = [], waiting
         if gaps is not None:
@@ -190,11 +198,11 @@ def assign(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
             )
             docs = waiting.select(F.lit(True).alias("item"), F.col("item").alias("id"), F.col("length").alias("size"), F.lit(0).alias("slot"))
             swept = scratch.store(_sweep(docs.unionByName(slots)), f"swept{turn}")
-            met = scratch.store(_across(swept), f"met{turn}")
+            met = scratch.store(_across(swept).coalesce(_tasks(rows)), f"met{turn}")
             used = [swept.where("kind = 'placed'").select(F.col("id").alias("item"), F.col("size").alias("length"), "seq"), met.where("seq IS NOT NULL")]
             left = met.where("seq IS NULL").select("item", "length")
-        opening = _opening(left, capacity)
-        opens, longest = opening or (F.lit(False), None)
+        opens, longest, total = _opening(left, capacity)
+        rows = rows or total
         opened = left.where(opens).select("item", "length", F.col("item").alias("seq"))
         placed += [x.withColumn("round", F.lit(turn)) for x in (*used, opened)]
         if longest is not None:
@@ -202,7 +210,8 @@ def assign(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
             change = gaps
             for x in changes:
                 change = x if change is None else change.unionByName(x)
-            gaps = scratch.store(change.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), f"gaps{turn}")
+            change = change.groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
+            gaps = scratch.store(change.coalesce(_tasks(rows)), f"gaps{turn}")
             if turn:
                 scratch.drop(f"gaps{turn - 1}")
         waiting, turn = left.where(~opens), turn + 1

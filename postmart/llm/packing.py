@@ -154,20 +154,30 @@ def _across(swept: DataFrame) -> DataFrame:
 def _opening(left: DataFrame, capacity: int) -> tuple[Column, int | None, int]:
     """Which of the unplaced documents open a sequence, the longest length among the others, and how many
     there are.  Those over half a sequence open one, and otherwise the largest, ``OPENED`` times as
-    many as their tokens need at least.  From the number of documents of each length (at most ``capacity``
-    rows); of a length that is needed in part, hashes choose about that part and one document at least."""
+    many as their tokens need at least.  From the number of documents of each length in 16 parts by hash (at
+    most 16 times ``capacity`` rows); of a length that is needed in part, as many parts open as are not too
+    many, and one document at least."""
     drawn = F.xxhash64("item")
-    found = left.groupBy("length").agg(F.count(F.lit(1)), F.min(drawn)).collect()
-    counts = sorted(map(tuple, found), reverse=True)
+    share = F.pmod(drawn, F.lit(16)).cast("int")
+    found = left.groupBy("length", share.alias("share")).agg(F.count(F.lit(1)), F.min(drawn)).collect()
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    for length, part, n, least in found:
+        parts.setdefault(length, []).append((part, n, least))
+    counts = [(length, sum(n for _, n, _ in parts[length])) for length in sorted(parts, reverse=True)]
     if not counts:
         return F.lit(False), None, 0
-    total = sum(c for _, c, _ in counts)
-    need = max(1, round(OPENED * sum(n * c for n, c, _ in counts) / capacity), sum(c for n, c, _ in counts if 2 * n > capacity))
-    for k, (length, n, first) in enumerate(counts):
+    total = sum(c for _, c in counts)
+    need = max(1, round(OPENED * sum(n * c for n, c in counts) / capacity), sum(c for n, c in counts if 2 * n > capacity))
+    for k, (length, n) in enumerate(counts):
         if need == n:
             return F.col("length") >= length, counts[k + 1][0] if k + 1 < len(counts) else None, total
         if need < n:
-            some = (F.pmod(drawn, F.lit(1 << 30)) < int(need / n * (1 << 30))) | (drawn == first)
+            chosen: list[int] = []
+            for part, size, _ in sorted(parts[length]):
+                if size <= need:
+                    chosen.append(part)
+                    need -= size
+            some = share.isin(chosen) if chosen else drawn == min(least for _, _, least in parts[length])
             return (F.col("length") > length) | ((F.col("length") == length) & some), length, total
         need -= n
     return F.lit(True), None, total

@@ -26,8 +26,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
     Like a reliable checkpoint it survives executor loss and keeps iterative plans short, but the frame is
-    computed once instead of twice, and what reads it can prune columns and skip row groups."""
+    computed once instead of twice, and what reads it can prune columns and skip row groups.  The copy goes
+    when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -142,7 +142,10 @@ def brute_nearest(rows, k):
             if own == q:
                 for i, b in use:
                     if i != q and len(a) == len(b):
-                        s = math.sqrt(sum((x - y) ** 2 for x, y in zip(a.tolist(), b.tolist(), strict=True)))
+                        total = 0.0  # plain additions in order; sum() would correct its rounding
+                        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                            total += (x - y) ** 2
+                        s = math.sqrt(total)
                         best[i] = min(s, best.get(i, s))
         out |= {(q, r + 1, i, s) for r, (s, i) in enumerate(sorted((s, i) for i, s in best.items())[:k])}
     return out

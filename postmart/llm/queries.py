@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postmart.llm import chat_format, exact_dedup, language, mixing, neighbours, packing, quality, simhash, substring, url_filter
+from postmart.llm import chat_format, exact_dedup, language, mixing, neighbours, packing, quality, simhash, substring, url_filter, whitening
 from postmart.llm.common import table
 
 
@@ -67,9 +67,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """(queries, SQL of those that SQL can express)."""
-    queries = [op1_packing, op2_exact_dedup, op3_quality, op4_chat_format, op5_language, op6_substring, op7_mixing, op8_simhash, op9_url_filter, op10_neighbours]
+    queries = [
+        op1_packing, op2_exact_dedup, op3_quality, op4_chat_format, op5_language, op6_substring, op7_mixing, op8_simhash, op9_url_filter,
+        op10_neighbours, op11_whitening,
+    ]
     sql = {
         "op2_exact_dedup": exact_dedup.SQL,
         "op4_chat_format": chat_format.SQL,

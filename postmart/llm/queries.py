@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postmart.llm import chat_format, exact_dedup, language, mixing, neighbours, packing, quality, simhash, substring, url_filter, whitening
+from postmart.llm import chat_format, decontaminate, exact_dedup, language, mixing, neighbours, packing, quality, simhash, substring, url_filter, whitening
 from postmart.llm.common import table
 
 
@@ -71,16 +71,21 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """(queries, SQL of those that SQL can express)."""
     queries = [
         op1_packing, op2_exact_dedup, op3_quality, op4_chat_format, op5_language, op6_substring, op7_mixing, op8_simhash, op9_url_filter,
-        op10_neighbours, op11_whitening,
+        op10_neighbours, op11_whitening, op13_decontamination,
     ]
     sql = {
         "op2_exact_dedup": exact_dedup.SQL,
         "op4_chat_format": chat_format.SQL,
         "op9_url_filter": url_filter.SQL,
         "op10_neighbours": neighbours.SQL,
+        "op13_decontamination": decontaminate.SQL,
     }
     return {f.__name__: f for f in queries}, sql

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postmart.llm import chat_format, decontaminate, exact_dedup, language, mixing, neighbours, packing, quality, simhash, substring, url_filter, whitening
+from postmart.llm import chat_format, decontaminate, exact_dedup, language, mixing, neighbours, packing, quality, simhash, substring, token_alignment, url_filter, whitening
 from postmart.llm.common import table
 
 
@@ -71,6 +71,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -79,7 +85,7 @@ def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[st
     """(queries, SQL of those that SQL can express)."""
     queries = [
         op1_packing, op2_exact_dedup, op3_quality, op4_chat_format, op5_language, op6_substring, op7_mixing, op8_simhash, op9_url_filter,
-        op10_neighbours, op11_whitening, op13_decontamination,
+        op10_neighbours, op11_whitening, op12_alignment, op13_decontamination,
     ]
     sql = {
         "op2_exact_dedup": exact_dedup.SQL,

@@ -27,26 +27,38 @@ TOLERANCE, MOST_CYCLES = 5e-15, 60
 NOTHING = 1e-12
 
 
-def _shape(table: pa.RecordBatch, dims: int) -> np.ndarray:
-    return table.column("x").flatten().to_numpy().reshape(-1, dims)
-
-
 def scaled(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, x): the integer vector of each row that has a vector of finite entries."""
+    """(dims, ids, x): blocks of up to ``BLOCK`` integer vectors of one length, of rows that have a vector of finite
+    entries.  ``x`` is a matrix of little-endian integers of 32 bits, or of 64 where they do not fit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("v")
-            values = vectors.flatten().to_numpy(zero_copy_only=False)
-            x = np.clip(np.floor(SCALE * values), -LIMIT, LIMIT).astype(np.int64) + SHIFT
-            lengths = pc.list_value_length(vectors).to_numpy()
-            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))], ["id", "x"])
+            values = np.clip(np.floor(SCALE * batch.column("v").flatten().to_numpy(zero_copy_only=False)), -LIMIT, LIMIT).astype(np.int64) + SHIFT
+            lengths = pc.list_value_length(batch.column("v")).to_numpy()
+            begin, ids = np.cumsum(lengths) - lengths, batch.column("id")
+            for dims in np.unique(lengths).tolist():
+                mine = np.flatnonzero(lengths == dims)
+                for at in range(0, len(mine), BLOCK):
+                    own = mine[at : at + BLOCK]
+                    x = values[begin[own][:, None] + np.arange(dims)]
+                    small = np.abs(x).max() < 1 << 31
+                    yield pa.RecordBatch.from_pydict({
+                        "dims": pa.array([dims], pa.int32()), "ids": pa.array([ids.take(pa.array(own)).to_pylist()], pa.list_(pa.int64())),
+                        "x": pa.array([x.astype("<i4" if small else "<i8").tobytes()], pa.binary()),
+                    })
 
     v = F.col(vector_col).cast("array<double>")
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     whole = rows.where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad))
-    return whole.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).mapInArrow(run, "id bigint, x array<bigint>")
+    return whole.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).mapInArrow(run, "dims int, ids array<bigint>, x binary")
+
+
+def _matrices(batches: Iterable[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, integer matrix) of each block."""
+    for batch in batches:
+        for ids, x in zip(batch.column("ids"), batch.column("x"), strict=True):
+            raw = x.as_buffer()
+            yield ids.values, np.frombuffer(raw, f"<i{raw.size // (len(ids) * dims)}").reshape(-1, dims).astype(np.int64)
 
 
 @dataclass
@@ -78,15 +90,14 @@ class Fit:
         return [e if e < 1 << 63 else None for e in exact]
 
 
-def _summed(rows: DataFrame, tasks: int, size: int, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+def _summed(rows: DataFrame, tasks: int, dims: int, size: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum over all blocks of ``part``, ``size`` numbers each.  Every task adds up its own to one row; if there are
     many tasks, groups of about a root of their number add up again, so that the driver adds few rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                total += part(batch.slice(at, BLOCK))
+        for _, x in _matrices(batches, dims):
+            total += part(x)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([total], pa.list_(pa.float64()))})
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +107,7 @@ def _summed(rows: DataFrame, tasks: int, size: int, part: Callable[[pa.RecordBat
                 total += batch.column("sums")[at].values.to_numpy()
         yield pa.RecordBatch.from_pydict({"sums": pa.array([total], pa.list_(pa.float64()))})
 
-    sums = rows.select("x").mapInArrow(run, "sums array<double>")
+    sums = rows.select("ids", "x").mapInArrow(run, "sums array<double>")
     if tasks > FEW_TASKS:
         sums = sums.repartition(math.isqrt(tasks)).mapInArrow(again, "sums array<double>")
     return np.add.reduce(np.stack([np.zeros(size), *(row.values.to_numpy() for row in sums.toArrow().column("sums"))]), axis=0)
@@ -107,13 +118,11 @@ def fit_list(rows: DataFrame, dims: int) -> Fit:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = 0, [0] * dims
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                x = _shape(batch.slice(at, BLOCK), dims)
-                n, sums = n + len(x), [s + a for s, a in zip(sums, x.sum(axis=0).tolist(), strict=True)]
+        for _, x in _matrices(batches, dims):
+            n, sums = n + len(x), [s + a for s, a in zip(sums, x.sum(axis=0).tolist(), strict=True)]
         yield pa.RecordBatch.from_pydict({"at": pa.array(range(dims + 1), pa.int32()), "value": pa.array([str(v) for v in (*sums, n)])})
 
-    parts = rows.select("x").mapInArrow(run, "at int, value string")
+    parts = rows.select("ids", "x").mapInArrow(run, "at int, value string")
     found = parts.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
     values = {r["at"]: int(r["value"]) for r in found}
     return Fit(values.get(dims, 0), [values.get(k, 0) for k in range(dims)])
@@ -199,56 +208,49 @@ def whiten(rows: DataFrame, wanted: int = 8, id_col: str = "vec_id", vector_col:
     scratch = Scratch(rows.sparkSession, "whitening")
     schema = f"{id_col} bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
     vectors = scratch.store(scaled(rows, id_col, vector_col), "x")
-    lengths = vectors.groupBy(F.size("x").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    lengths = vectors.groupBy("dims").agg(F.sum(F.size("ids")).alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
     if lengths is None:
         return rows.sparkSession.createDataFrame([], schema)
     dims = int(lengths["dims"])
-    vectors = vectors.where(F.size("x") == dims)
+    vectors = vectors.where(F.col("dims") == dims)
     fit, tasks = fit_list(vectors, dims), vectors.rdd.getNumPartitions()
 
     def apply(q: np.ndarray) -> np.ndarray:
-        def part(batch: pa.RecordBatch) -> np.ndarray:
-            c = fit.centred(_shape(batch, dims))
+        def part(x: np.ndarray) -> np.ndarray:
+            c = fit.centred(x)
             return (c.T @ (c @ q)).ravel()
 
-        return _summed(vectors, tasks, q.size, part).reshape(q.shape) / fit.n
+        return _summed(vectors, tasks, dims, q.size, part).reshape(q.shape) / fit.n
 
-    trace = float(_summed(vectors, tasks, 1, lambda b: np.array([(fit.centred(_shape(b, dims)) ** 2).sum()]))[0]) / fit.n
+    trace = float(_summed(vectors, tasks, dims, 1, lambda x: np.array([(fit.centred(x) ** 2).sum()]))[0]) / fit.n
     if not trace > 0:
         return rows.sparkSession.createDataFrame([], schema)
     values, basis = components(apply, dims, wanted)
     k = min(wanted, int((values > NOTHING * values[0]).sum()))
     project = basis[:, :k] / np.sqrt(values[:k])
     explained = values[:k] / trace
+    mean = _summed(vectors, tasks, dims, k, lambda x: (fit.centred(x) @ project).sum(axis=0)) / fit.n
 
-    def whitened(batch: pa.RecordBatch) -> np.ndarray:
-        return fit.centred(_shape(batch, dims)) @ project
-
-    mean = _summed(vectors, tasks, k, lambda b: whitened(b).sum(axis=0)) / fit.n
-
-    def spread(batch: pa.RecordBatch) -> np.ndarray:
-        w = whitened(batch) - mean
+    def spread(x: np.ndarray) -> np.ndarray:
+        w = fit.centred(x) @ project - mean
         return (w.T @ w).ravel()
 
-    error = float(np.abs(_summed(vectors, tasks, k * k, spread).reshape(k, k) / fit.n - np.eye(k)).max())
+    error = float(np.abs(_summed(vectors, tasks, dims, k * k, spread).reshape(k, k) / fit.n - np.eye(k)).max())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                m = part.num_rows
-                each = np.repeat(np.arange(m), k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").take(pa.array(each)),
-                        pa.array(np.tile(np.arange(1, k + 1), m), pa.int32()),
-                        pa.array(np.full(m * k, fit.n, np.int64)),
-                        pa.array(fit.deviations(_shape(part, dims)), pa.int64()).take(pa.array(each)),
-                        pa.array(whitened(part).ravel()),
-                        pa.array(np.tile(explained, m)),
-                        pa.array(np.full(m * k, error)),
-                    ],
-                    [c.strip().split()[0] for c in schema.split(",")],
-                )
-
-    return vectors.select("id", "x").mapInArrow(run, schema)
+        for ids, x in _matrices(batches, dims):
+            each, m = np.repeat(np.arange(len(x)), k), len(x)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.take(pa.array(each)),
+                    pa.array(np.tile(np.arange(1, k + 1), m), pa.int32()),
+                    pa.array(np.full(m * k, fit.n, np.int64)),
+                    pa.array(fit.deviations(x), pa.int64()).take(pa.array(each)),
+                    pa.array((fit.centred(x) @ project).ravel()),
+                    pa.array(np.tile(explained, m)),
+                    pa.array(np.full(m * k, error)),
+                ],
+                [c.strip().split()[0] for c in schema.split(",")],
+            )
+
+    return vectors.select("ids", "x").mapInArrow(run, schema)

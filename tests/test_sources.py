@@ -153,7 +153,7 @@ def test_bad_curve_pages(spark, payload, problem):
 def test_offsets_that_do_not_move(spark):
     pages = series(spark, curve(2), curve(2, 0), curve(0, 4), curve(1, 4))
     got = [r["verdict"] for r in W.check_offsets(pages).orderBy("page").collect()]
-    assert got == ["ok", "offset did not move forward", "offset did not move forward", "page after the end"]
+    assert got == ["ok", "offset did not move forward", "ok", "page after the end"]  # an end page may state any offset
 
 
 def test_listing_verdicts(spark):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from postmart.functions.scalars import is_blank
 from postmart.operators.joins import resume_anti
-from postmart.operators.merge import upsert_rows
+from postmart.operators.windows import first_wins
 
 RANKED_COLUMNS = [
     "published_at", "title", "author", "url", "post_id", "backtest_id", "clone_count", "like_count",
@@ -49,15 +49,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
+def _point(spark: SparkSession, root: str, versions: list[str]) -> None:
     """Replace the pointer file: written aside, then renamed over the old one."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(f"{root}/{_POINTER}")
-    aside = jvm.org.apache.hadoop.fs.Path(f"{root}/.{_POINTER}-{version}")
+    aside = jvm.org.apache.hadoop.fs.Path(f"{root}/.{_POINTER}-{versions[0]}")
     fs = target.getFileSystem(conf)
     stream = fs.create(aside, True)
-    stream.write(bytearray(version.encode()))
+    stream.write(bytearray("\n".join(versions).encode()))
     stream.close()
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -65,18 +65,22 @@ def _point(spark: SparkSession, root: str, version: str) -> None:
     context.rename(aside, target, options)
 
 
-def published_path(spark: SparkSession, root: str) -> str | None:
-    """Folder of the version readers should use, or None when nothing was published yet."""
+def _pointed(spark: SparkSession, root: str) -> list[str]:
+    """The published version, and those before it that are still kept."""
     hadoop_path, fs = _fs(spark, f"{root}/{_POINTER}")
     if not fs.exists(hadoop_path):
-        return None
+        return []
     stream = fs.open(hadoop_path)
     try:
-        size = fs.getFileStatus(hadoop_path).getLen()
-        text = bytes(bytearray(stream.read() for _ in range(size))).decode()
+        return bytes(stream.readAllBytes()).decode().split()
     finally:
         stream.close()
-    return f"{root}/versions/{text}"
+
+
+def published_path(spark: SparkSession, root: str) -> str | None:
+    """Folder of the version readers should use, or None when nothing was published yet."""
+    versions = _pointed(spark, root)
+    return f"{root}/versions/{versions[0]}" if versions else None
 
 
 def read_published(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame | None:
@@ -87,7 +91,8 @@ def read_published(spark: SparkSession, root: str, schema: T.StructType | None =
 
 
 def _publish(spark: SparkSession, root: str, write: Callable[[str], None], keep_previous: int = 1) -> str:
-    """Run ``write(folder)``, publish the folder, drop versions older than the ``keep_previous`` last."""
+    """Run ``write(folder)``, publish the folder, drop the version that falls behind the ``keep_previous`` last.
+    Only versions that were published once are dropped, never what another writer is busy with."""
     version = uuid.uuid4().hex
     folder = f"{root}/versions/{version}"
     try:
@@ -95,12 +100,10 @@ def _publish(spark: SparkSession, root: str, write: Callable[[str], None], keep_
     except BaseException:
         _delete(spark, folder)
         raise
-    _point(spark, root, version)
-    hadoop_path, fs = _fs(spark, f"{root}/versions")
-    statuses = [(s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(hadoop_path)]
-    old = sorted((t, p) for t, p in statuses if not p.endswith(version))
-    for _, path in old[: max(0, len(old) - keep_previous)]:
-        _delete(spark, path)
+    old = _pointed(spark, root)
+    _point(spark, root, [version, *old[:keep_previous]])
+    for behind in old[keep_previous:]:
+        _delete(spark, f"{root}/versions/{behind}")
     return folder
 
 
@@ -119,20 +122,41 @@ def write_archive_jsonl(df: DataFrame, root: str) -> str:
     return _publish(df.sparkSession, root, lambda folder: ordered.write.json(folder))
 
 
-def append_new_jsonl(df: DataFrame, path: str, key: str = "id", force: bool = False) -> None:
-    """Append only rows whose key is not in the output yet; ``force`` starts the output afresh."""
-    spark = df.sparkSession
-    if force or not _exists(spark, path):
-        df.dropDuplicates([key]).write.mode("overwrite").json(path)
-        return
-    key_only = T.StructType([T.StructField(key, df.schema[key].dataType)])
-    done = spark.read.schema(key_only).json(path)
-    resume_anti(df, done, key).dropDuplicates([key]).write.mode("append").json(path)
+def read_appended(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame | None:
+    """The lines of all batches that ``append_new_jsonl`` has published."""
+    versions = _pointed(spark, root)
+    if not versions:
+        return None
+    batches = spark.read.text(f"{root}/versions/{versions[0]}").where("value <> ''").collect()
+    paths = [f"{root}/batches/{r[0]}" for r in batches]
+    return spark.read.schema(schema).json(paths) if paths else spark.createDataFrame([], schema)
+
 
+def append_new_jsonl(df: DataFrame, root: str, key: str = "id", order: list[str] | None = None, force: bool = False) -> None:
+    """Append only rows whose key is not in the output yet, the first row of each key; ``force`` starts the output afresh.
 
-def write_ranked_csv(ranked: DataFrame, path: str) -> None:
-    """The 11 report columns with a header, in rank order when the frame is sorted."""
-    ranked.select(*RANKED_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    First along ``order``, or as the frame is read.  Every batch is a folder of its own, and a small published list
+    says which of them make up the output.  A job that dies, also one with ``force``, leaves the list as it was."""
+    spark = df.sparkSession
+    rows = df.withColumn("__at", F.monotonically_increasing_id()) if order is None else df
+    fresh = first_wins(rows.where(~is_blank(key)), key, order or ["__at"]).select(*df.columns)
+    done = None if force else read_appended(spark, root, T.StructType([T.StructField(key, df.schema[key].dataType)]))
+    if done is not None:
+        fresh = resume_anti(fresh, done, key)
+    batch = uuid.uuid4().hex
+    fresh.write.json(f"{root}/batches/{batch}")
+    names = [(batch,)]
+    if done is not None:
+        names += [tuple(r) for r in spark.read.text(published_path(spark, root)).where("value <> ''").collect()]
+    _publish(spark, root, lambda folder: spark.createDataFrame(names, "value string").coalesce(1).write.text(folder))
+
+
+def write_ranked_csv(ranked: DataFrame, root: str, rank: str = "rank") -> str:
+    """The 11 report columns with a header, published in one step.  With a ``rank`` column the part files in name
+    order are the report in rank order."""
+    rows = ranked.orderBy(rank) if rank in ranked.columns else ranked
+    report = rows.select(*RANKED_COLUMNS)
+    return _publish(ranked.sparkSession, root, lambda folder: report.write.option("header", True).option("escape", '"').csv(folder))
 
 
 def write_json_document(ranked: DataFrame, root: str, rank: str = "rank") -> str:
@@ -150,39 +174,6 @@ def write_json_document(ranked: DataFrame, root: str, rank: str = "rank") -> str
     return _publish(ranked.sparkSession, root, lambda folder: document.write.text(folder))
 
 
-def upsert_table(incoming: DataFrame, root: str, key: str, keep: tuple[str, ...] = ("created_at",)) -> str:
-    """Upsert into a published table by writing its next version."""
-    target = read_published(incoming.sparkSession, root)
-    rows = incoming if target is None else upsert_rows(target, incoming, key, keep)
-    return replace_published(rows, root)
-
-
-def upsert_partitions(
-    incoming: DataFrame, path: str, key: str, partition: str, keep: tuple[str, ...] = ("created_at",)
-) -> None:
-    """Upsert into a parquet table partitioned by ``partition``, rewriting only the partitions it touches.
-
-    Touched are the partitions of the incoming rows and those that hold an earlier version of their keys;
-    the second set comes from a scan of two columns.  Spark stages the new files and swaps whole
-    partitions when the job commits, so a lost executor or a failed job leaves the table as it was."""
-    spark = incoming.sparkSession
-    if not _exists(spark, path):
-        incoming.write.partitionBy(partition).parquet(path)
-        return
-    table = spark.read.parquet(path)
-    moved = table.select(key, partition).join(incoming.select(key), key, "left_semi").select(partition)
-    touched = incoming.select(F.col(partition).cast(table.schema[partition].dataType)).union(moved).distinct()
-    affected = table.join(touched, partition, "left_semi")
-    incoming = incoming.withColumn(partition, F.col(partition).cast(table.schema[partition].dataType))
-    merged = upsert_rows(affected, incoming, key, keep)
-    # A partition whose last key moves elsewhere gets no new files; it is dropped after the others are in.
-    left = {row[0] for row in touched.join(merged.select(partition).distinct(), partition, "left_anti").collect()}
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    for value in left:
-        name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
-        _delete(spark, f"{path}/{partition}={name}")
-
-
 def publish_snapshot(parts: dict[str, DataFrame], problems: DataFrame, root: str) -> str:
     """Write all parts of a snapshot and publish them together, or raise and leave the old snapshot.
 

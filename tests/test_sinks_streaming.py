@@ -1,6 +1,7 @@
 import json
 import os
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F, types as T
 from postmart import sinks as K
 from postmart.plans.snapshot import simulation_snapshot
 from postmart.session import checkpoint_dir, cut_lineage
+from postmart.sinks import manifest as M
 from postmart.sinks.publish import IncompleteSnapshot, published_path, read_published
 from postmart.sources import payloads as S
 from postmart.streaming import ingest as I
@@ -35,13 +37,22 @@ def test_archive_is_newest_first_with_stable_ties(spark, folder):
 
 def test_resume_and_force(spark, folder):
     df = lambda *ids: spark.createDataFrame([(i, "v") for i in ids], "id string, v string")
-    path = folder + "/out"
-    K.append_new_jsonl(df("1", "2"), path)
+    path, schema = folder + "/out", T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.StringType())])
+    K.append_new_jsonl(df("1", "2", "", None), path)
     K.append_new_jsonl(df("2", "3"), path)
-    read = lambda: sorted(r["id"] for r in spark.read.schema("id string").json(path).collect())
-    assert read() == ["1", "2", "3"]
+    read = lambda: sorted(values(K.read_appended(spark, path, schema), "id", "v"))
+    assert read() == [("1", "v"), ("2", "v"), ("3", "v")]
     K.append_new_jsonl(df("9"), path, force=True)
-    assert read() == ["9"]
+    assert read() == [("9", "v")]
+    # The first row of a key stays: by an order, or as the frame is read.
+    rows = spark.createDataFrame([("a", "z", 2), ("a", "y", 1), ("9", "no", 0)], "id string, v string, n int")
+    K.append_new_jsonl(rows, path, order=["n"])
+    K.append_new_jsonl(spark.createDataFrame([("b", "first"), ("b", "later")], "id string, v string").coalesce(1), path)
+    assert read() == [("9", "v"), ("a", "y"), ("b", "first")]
+    bad = df("x").select("id", F.raise_error(F.lit("boom")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="boom"):
+        K.append_new_jsonl(bad, path, force=True)
+    assert read() == [("9", "v"), ("a", "y"), ("b", "first")]
 
 
 def ranked(spark, n):
@@ -60,8 +71,9 @@ def test_json_document_parses(spark, folder, n):
 
 
 def test_ranked_csv(spark, folder):
-    K.write_ranked_csv(ranked(spark, 3), folder + "/csv")
-    got = spark.read.csv(folder + "/csv", header=True, escape='"')
+    path = K.write_ranked_csv(ranked(spark, 3), folder + "/csv")
+    got = spark.read.csv(path, header=True, escape='"')
+    assert [t.split(",")[4 if '"' not in t else -7] for t in lines(spark, path) if t.startswith("2024")] == ["0", "1", "2"]
     assert got.columns == K.publish.RANKED_COLUMNS and got.where("post_id = '2'").first()["title"] == 't "2", x'
 
 
@@ -79,19 +91,61 @@ def test_failed_write_keeps_the_published_version(spark, folder):
     assert read_published(spark, folder + "/nothing") is None
 
 
-def test_upsert_partitions_touches_only_what_changed(spark, folder):
-    path = folder + "/p"
-    schema = "id int, v string, created_at string, part int"
-    K.upsert_partitions(spark.createDataFrame([(1, "a", "t0", 0), (2, "b", "t0", 1), (3, "c", "t0", 1), (4, "d", "t0", 2)], schema), path, "id", "part")
-    untouched = sorted(os.listdir(path + "/part=2"))
-    K.upsert_partitions(spark.createDataFrame([(1, "A", "t1", 0), (2, "B", "t1", 0), (5, "e", "t1", 3)], schema), path, "id", "part")
-    got = sorted(values(spark.read.schema(schema).parquet(path), "id", "v", "created_at", "part"))
-    assert got == [(1, "A", "t0", 0), (2, "B", "t0", 0), (3, "c", "t0", 1), (4, "d", "t0", 2), (5, "e", "t1", 3)]
-    assert sorted(os.listdir(path + "/part=2")) == untouched
-    # The last row of partition 1 moves away: the partition disappears with it.
-    K.upsert_partitions(spark.createDataFrame([(3, "C", "t2", 0)], schema), path, "id", "part")
-    got = sorted(values(spark.read.schema(schema).parquet(path), "id", "v", "part"))
-    assert got == [(1, "A", 0), (2, "B", 0), (3, "C", 0), (4, "d", 2), (5, "e", 3)]
+def data_files(root):
+    return sorted(os.path.join(d, n) for d, _, names in os.walk(root + "/data") for n in names if n.startswith("part-"))
+
+
+@pytest.mark.parametrize("partition", [(), ("part",)])
+def test_upsert_touches_only_its_buckets(spark, folder, partition):
+    root, schema = folder + "/p", "id int, v string, created_at string, part int"
+    first = K.upsert_table(spark.createDataFrame([(i, "a", "t0", i % 3) for i in range(40)], schema), root, "id", buckets=8, partition=partition)
+    before = data_files(root)
+    batch = spark.createDataFrame([(1, "B", "t1", 2), (100, "n", "t1", 0)], schema)
+    second = K.upsert_table(batch, root, "id", partition=partition)
+    touched = {str(r[0]) for r in batch.select(M.bucket_of("id", 8)).collect()}
+    assert {k for k in second.folders if second.folders[k] != first.folders.get(k)} == touched and len(touched) < 8
+    assert set(before) <= set(data_files(root))  # readers of the version before are not disturbed
+    plan = K.read_table(spark, root, [int(k) for k in touched]).inputFiles()
+    assert plan and {f.split("bucket=")[1].split("/")[0] for f in plan} == touched
+    want = {i: ("a", "t0", i % 3) for i in range(40)} | {1: ("B", "t0", 2), 100: ("n", "t1", 0)}
+    got = values(K.read_table(spark, root), "id", "v", "created_at", "part")
+    assert len(got) == len(want) and {i: tuple(r) for i, *r in got} == want
+    K.upsert_table(batch, root, "id", partition=partition)
+    assert not set(before) <= set(data_files(root)) and K.read_table(spark, root).count() == 41
+    assert len(os.listdir(root + "/manifests")) <= 4  # two versions and their check sums
+    assert K.upsert_table(batch.limit(0), root, "id").version == 2
+
+
+def test_a_crash_before_the_swap_keeps_the_table(spark, folder, monkeypatch):
+    root = folder + "/p"
+    rows = lambda v: spark.createDataFrame([(i, v) for i in range(9)], "id int, v string")
+    K.upsert_table(rows("a"), root, "id", buckets=4)
+    with monkeypatch.context() as patch:
+        patch.setattr(M, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost the driver")))
+        with pytest.raises(RuntimeError, match="lost"):
+            K.upsert_table(rows("b"), root, "id")
+    assert {r["v"] for r in K.read_table(spark, root).collect()} == {"a"}
+    K.upsert_table(rows("c"), root, "id")
+    assert {r["v"] for r in K.read_table(spark, root).collect()} == {"c"} and K.read_table(spark, root).count() == 9
+
+
+def test_the_second_of_two_writers_fails(spark, folder):
+    root = folder + "/p"
+    rows = spark.createDataFrame([(1, "a")], "id int, v string")
+    version = K.upsert_table(rows, root, "id", buckets=2)
+    K.upsert_table(rows.withColumn("v", F.lit("b")), root, "id")
+    with pytest.raises(M.ConcurrentWrite):
+        M.commit(spark, root, replace(version, version=1))
+    assert values(K.read_table(spark, root), "id", "v") == [(1, "b")]
+
+
+def test_appends_join_folders(spark, folder, monkeypatch):
+    monkeypatch.setattr(M, "MOST_FOLDERS", 3)
+    root = folder + "/p"
+    for i in range(8):
+        manifest = K.append_rows(spark.createDataFrame([(k, i) for k in range(6)], "id int, batch int"), root, "id", 2, {"batch": str(i)})
+    assert manifest.marks == {"batch": "7"} and max(map(len, manifest.folders.values())) <= 3
+    assert sorted(values(K.read_table(spark, root), "id", "batch")) == sorted((k, i) for k in range(6) for i in range(8))
 
 
 def test_run_state_sections(spark, folder):

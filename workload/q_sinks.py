@@ -36,15 +36,19 @@ def _digest(df):
 @query("write_archive_jsonl", "SELECT id, published_at, md5(content) AS content, row_number() OVER (ORDER BY published_at DESC, id) AS line FROM posts_v")
 def _(v):
     """The written lines in file order, numbered."""
-    from postmart.operators.ranking import global_rank
-
     root = scratch(v)
     path = K.write_archive_jsonl(v.posts().select("id", "published_at", "content"), root)
-    rows = v.spark.read.schema(_DOC).json(path)
+    return _digest_line(_numbered(v.spark.read.schema(_DOC).json(path)))
+
+
+def _numbered(rows):
+    """Rows with the number of their ``line`` in the part files, taken in name order."""
+    from postmart.operators.ranking import global_rank
+
     placed = rows.select("*", F.element_at(F.split(F.col("_metadata.file_name"), "-"), 2).cast("int").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     # The order inside a file is the order of the partition that reads it.
     numbered = placed.withColumn("key", F.monotonically_increasing_id())
-    return _digest_line(global_rank(numbered, [("file", False), ("at", False), ("key", False)], "line"))
+    return global_rank(numbered, [("file", False), ("at", False), ("key", False)], "line").select(*rows.columns, "line")
 
 
 def _digest_line(df):
@@ -68,7 +72,7 @@ def _(v):
     even = rows.where(F.col("id").cast("bigint") % 2 == 0)
     for batch in (even, even, rows):
         K.append_new_jsonl(batch, root)
-    return _digest(v.spark.read.schema(_DOC).json(root))
+    return _digest(K.read_appended(v.spark, root, _DOC))
 
 
 def _popular(v):
@@ -83,13 +87,18 @@ SELECT published_at, title, author_name AS author, url, id AS post_id, backtest_
 FROM posts_v WHERE clone_count > 100 AND like_count > 50"""
 
 
-@query("write_ranked_csv", _SQL_POPULAR.replace("backtest_id,", "nullif(backtest_id, '') AS backtest_id,"))
+_SQL_RANKED = _SQL_POPULAR.replace("backtest_id,", "nullif(backtest_id, '') AS backtest_id,").replace(
+    "SELECT published_at", "SELECT row_number() OVER (ORDER BY clone_count DESC, like_count DESC, published_at, id) AS line, published_at")
+
+
+@query("write_ranked_csv", _SQL_RANKED)
 def _(v):
+    """The report read back in file order: lines are numbered by where they stand."""
     root = scratch(v)
-    K.write_ranked_csv(_popular(v), root)
+    path = K.write_ranked_csv(_popular(v), root)
     schema = ", ".join(
         f"{c} " + ("bigint" if c.endswith("count") else "boolean" if c == "is_best" else "string") for c in K.publish.RANKED_COLUMNS)
-    return v.spark.read.schema(schema).csv(root, header=True, escape='"')
+    return _numbered(v.spark.read.schema(schema).csv(path, header=True, escape='"'))
 
 
 @query("write_json_document", f"SELECT *, (SELECT count(*) FROM ({_SQL_POPULAR}) c) AS stated FROM ({_SQL_POPULAR}) p")
@@ -134,19 +143,18 @@ def _(v):
     target, incoming = upsert_sides(v)
     K.upsert_table(target, root, "id")
     K.upsert_table(incoming, root, "id")
-    return read_published(v.spark, root)
+    return K.read_table(v.spark, root)
 
 
 @query("upsert_partitions", _SQL_UPSERT.replace("SELECT c_custkey AS id", "SELECT c_custkey % 8 AS part, c_custkey AS id").replace("SELECT -1 - s_suppkey", "SELECT s_suppkey % 4, -1 - s_suppkey"))
 def _(v):
-    """Upsert into a partitioned table; only touched partitions are rewritten."""
+    """Upsert into a table whose buckets are partitioned further; rows that move change folders within a bucket."""
     root = scratch(v)
     target, incoming = upsert_sides(v)
     part = F.when(F.col("id") >= 0, F.col("id") % 8).otherwise((-1 - F.col("id")) % 4).alias("part")
-    K.upsert_partitions(target.select("*", part), root, "id", "part")
-    K.upsert_partitions(incoming.select("*", part), root, "id", "part")
-    schema = f"{', '.join(f'{n} {t}' for n, t in target.dtypes)}, part bigint"
-    return v.spark.read.schema(schema).parquet(root)
+    for rows in (target, incoming):
+        K.upsert_table(rows.select("*", part), root, "id", buckets=16, partition=("part",))
+    return K.read_table(v.spark, root)
 
 
 @query("publish_snapshot", "SELECT 'records' AS part, count(*) AS n FROM days_v WHERE NOT is_limit UNION ALL SELECT 'days', count(*) FROM (SELECT DISTINCT sim_id, requested_date FROM days_v WHERE NOT is_limit) d")

@@ -115,8 +115,9 @@ def normalize_post_detail(
     return df.select(F.col(requested_id), *rest, *[c.alias(n) for n, c in fields.items()])
 
 
-def conform(df: DataFrame, schema: T.StructType = ARCHIVE) -> DataFrame:
-    """Project to the archive schema; absent columns and struct fields become NULL (absent)."""
+def conform(df: DataFrame, schema: T.StructType = ARCHIVE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project to the archive schema and the columns in ``keep``; absent columns and struct fields become NULL
+    (absent)."""
 
     def fit(col: Column, have: T.DataType, want: T.DataType) -> Column:
         if isinstance(want, T.StructType) and isinstance(have, T.StructType):
@@ -133,16 +134,16 @@ def conform(df: DataFrame, schema: T.StructType = ARCHIVE) -> DataFrame:
     return df.select(*[
         (fit(F.col(f.name), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
-    ])
+    ], *keep)
 
 
 def _now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def compact_post(df: DataFrame, canonical: bool = False) -> DataFrame:
-    """The fixed 19-field feed projection with defaults.  The canonical form adds the fetch time and an
-    empty backtest name."""
+def compact_post(df: DataFrame, canonical: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The fixed 19-field feed projection with defaults, and the columns in ``keep``.  The canonical form adds the
+    fetch time and an empty backtest name."""
     text = ["id", "title", "url", "published_at", "updated_at", "last_active_at", "last_reply_at", "content_preview"]
     count = ["reply_count", "view_count", "like_count", "collection_count"]
     flag = ["is_top", "is_best"]
@@ -167,7 +168,7 @@ def compact_post(df: DataFrame, canonical: bool = False) -> DataFrame:
     out += [F.col(c) for c in ("author", "research", "file", "tags") if c in have]
     if canonical:
         out.append(_now().alias("list_fetched_at"))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 def canonical_from_detail(detail: DataFrame) -> DataFrame:

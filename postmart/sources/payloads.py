@@ -42,17 +42,20 @@ def _accepted(df: DataFrame, payload: str, on_reject: str) -> DataFrame:
     raise ValueError("on_reject must be 'skip' or 'raise'")
 
 
-def scan_feed_pages(df: DataFrame, payload: str = "payload", on_reject: str = "raise") -> DataFrame:
+def scan_feed_pages(df: DataFrame, payload: str = "payload", on_reject: str = "raise", keep_empty: bool = False) -> DataFrame:
     """Feed pages to row objects: (…, total_count, curr_time, pos, item), ``pos`` from 0 per page.
-    Entries that are not objects are dropped but keep their place."""
+    Entries that are not objects are dropped but keep their place; with ``keep_empty`` they stay as rows without an
+    item, and a page without entries is one such row."""
     pages = _accepted(df, payload, on_reject)
     rest = [c for c in pages.columns if c != "data"]
     exploded = pages.select(
         *rest,
         int_strict(vget("data", "totalCount")).alias("total_count"),
         vget("data", "currTime").alias("curr_time"),
-        F.posexplode(vlist("data", "list")).alias("pos", "item"),
+        (F.posexplode_outer if keep_empty else F.posexplode)(vlist("data", "list")).alias("pos", "item"),
     )
+    if keep_empty:
+        return exploded.withColumn("item", F.when(vkind("item") == "OBJECT", F.col("item")))
     return exploded.where(vkind("item") == "OBJECT")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 def observed(posts: DataFrame, name: str = "feed") -> DataFrame:
     """Count posts (and pinned or late ones, where marked) while they flow through a query."""
-    counts = [F.count(F.lit(1)).alias("items")]
+    there = F.col("is_item") if "is_item" in posts.columns else F.lit(True)
+    counts = [F.count_if(there).alias("items")]
     if "page" in posts.columns:
         counts.append(F.max("page").alias("page"))
     if "is_old" in posts.columns:

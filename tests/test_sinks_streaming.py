@@ -217,11 +217,11 @@ def test_compaction_never_goes_back_in_time(spark, folder):
     assert sorted(values(I.compact_archive(spark, root, log), "id", "title")) == [("1", "new title"), ("2", "two")]
 
 
-def land(folder, name, feed, page, posts):
+def land(folder, name, feed, page, posts, reading=None):
     os.makedirs(folder + "/landing", exist_ok=True)
     payload = json.dumps({"code": "00000", "data": {"list": [{"postId": i, "addTime": t, "title": x, "isTop": p} for i, t, x, p in posts]}})
     with open(f"{folder}/landing/{name}.json", "w") as out:
-        out.write(json.dumps({"feed": feed, "page": page, "payload": payload}) + "\n")
+        out.write(json.dumps({"feed": feed, "reading": reading, "page": page, "payload": payload}) + "\n")
 
 
 def test_ingest_is_idempotent_and_merges(spark, folder):
@@ -313,3 +313,150 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     path = checkpoint_dir(spark)
     assert path and spark.sparkContext.getCheckpointDir()
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_a_reading_ends_across_batches(spark, folder):
+    """The end found in one batch holds in later ones, but neither for another reading nor for another cut."""
+    log, checkpoint = folder + "/log", folder + "/cp"
+
+    def run(cut="2024-01-05"):
+        query = I.stream_ingest(spark, folder + "/landing", log, checkpoint, cut=cut)
+        query.awaitTermination()
+        return [p.observedMetrics["feed"] for p in query.recentProgress if "feed" in (p.observedMetrics or {})]
+
+    taken = lambda: sorted(values(I.read_log(spark, log), "batch", "id"))
+    land(folder, "a", "f", 1, [(1, "2024-01-09 00:00:00", "x", 0), (90, "2020-01-01 00:00:00", "pin", 1), (2, "2024-01-08 00:00:00", "x", 0)], "r1")
+    land(folder, "b", "f", 2, [(3, "2024-01-07 00:00:00", "x", 0), (4, "2024-01-01 00:00:00", "end", 0), (5, "2024-01-06 00:00:00", "behind", 0)], "r1")
+    land(folder, "g", "g", 1, [], "r1")
+    metrics = run()
+    assert taken() == [(0, "1"), (0, "2"), (0, "3")]
+    assert [(m["items"], m["late"]) for m in metrics] == [(6, 2)]
+    land(folder, "c", "f", 3, [(6, "2024-01-08 00:00:00", "behind", 0), (91, "2020-01-01 00:00:00", "pin", 1)], "r1")
+    land(folder, "d", "f", 1, [(7, "2024-01-10 00:00:00", "x", 0)], "r2")
+    land(folder, "h", "g", 2, [(8, "2024-01-08 00:00:00", "x", 0)], "r1")
+    assert [(m["items"], m["late"]) for m in run()] == [(4, 1)]
+    assert taken() == [(0, "1"), (0, "2"), (0, "3"), (1, "7"), (1, "8")]
+    events = {(r["type"], r["feed"], r["reading"], r["page"]): r for r in I.feed_events(spark, log).collect()}
+    assert [(events["progress", "f", "r1", p]["page_items"], events["progress", "f", "r1", p]["items_seen"]) for p in (1, 2)] == [(2, 2), (1, 3)]
+    assert ("progress", "f", "r1", 3) not in events and events["progress", "g", "r1", 1]["page_items"] == 0
+    done = events["done", "f", "r1", None]
+    assert (done["items_seen"], done["pages_read"], done["stopped"]) == (3, 2, True) and not events["done", "f", "r2", None]["stopped"]
+    # A replay of the last batch writes the same again.
+    replay_last(checkpoint)
+    run()
+    assert taken() == [(0, "1"), (0, "2"), (0, "3"), (1, "7"), (1, "8")] and I.feed_events(spark, log).count() == len(events)
+    land(folder, "e", "f", 3, [(9, "2024-01-08 00:00:00", "x", 0)], "r1")
+    run(cut="2024-01-04")
+    assert (2, "9") in taken()
+
+
+def replay_last(checkpoint):
+    """Forget that the last batch was committed, as after a crash."""
+    folder = checkpoint + "/commits"
+    last = max(int(n) for n in os.listdir(folder) if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{folder}/{name}"):
+            os.unlink(f"{folder}/{name}")
+
+
+def test_a_post_counts_as_it_was_read_last(spark, folder):
+    land(folder, "a", "f", 2, [(1, "2024-01-05 00:00:00", "a later page", 0)])
+    land(folder, "b", "f", 1, [(1, "2024-01-05 00:00:00", "an earlier page", 0)])
+    I.stream_ingest(spark, folder + "/landing", folder + "/log", folder + "/cp").awaitTermination()
+    assert values(I.compact_archive(spark, folder + "/archive", folder + "/log"), "title") == [("a later page",)]
+
+
+def test_stream_dedupe_reads_touched_buckets_and_replays(spark, folder):
+    source, target, checkpoint = folder + "/in", folder + "/out", folder + "/cp"
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
+    run = lambda: I.stream_dedupe(spark, source, schema, target, checkpoint, buckets=16).awaitTermination()
+    got = lambda: sorted(values(spark.read.schema(schema).json(target), "id", "n"))
+    spark.createDataFrame([(str(i % 50), i) for i in range(100)] + [("", 1), (None, 2)], schema).coalesce(1).write.mode("append").json(source)
+    run()
+    first = [(str(i), i) for i in range(50)]
+    assert got() == sorted(first)
+    spark.createDataFrame([("7", 700), ("new", 1)], schema).coalesce(1).write.mode("append").json(source)
+    run()
+    assert got() == sorted([*first, ("new", 1)])
+    ledger = I.IdLedger(spark, target + "/_ids", "id", 16)
+    batch = spark.createDataFrame([("7", 1)], schema)
+    files = ledger.known(batch, 9).inputFiles()
+    assert files and len({f.split("bucket=")[1].split("/")[0] for f in files}) == 1
+    replay_last(checkpoint)
+    run()
+    assert got() == sorted([*first, ("new", 1)]) and I.read_table(spark, target + "/_ids").count() == 51
+    # A crash after the rows and before the ids: the replay writes the same rows and records them.
+    fresh = I.IdLedger(spark, folder + "/ids2", "id", 4)
+    I.write_new_rows(batch, 0, fresh, folder + "/out2")
+    fresh.record(spark.createDataFrame([("other", 1)], schema), 0)
+    assert {r["id"] for r in I.read_table(spark, folder + "/ids2").collect()} == {"7"}
+    I.write_new_rows(batch, 0, fresh, folder + "/out2")
+    I.write_new_rows(batch, 1, fresh, folder + "/out2")
+    assert values(spark.read.schema(schema).json(folder + "/out2"), "id", "n") == [("7", 1)]
+
+
+def test_a_target_without_a_ledger_gets_one(spark, folder):
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    spark.createDataFrame([("a",), ("b",)], schema).write.json(folder + "/out/batch=0")
+    spark.createDataFrame([("b",), ("c",)], schema).write.json(folder + "/in")
+    I.stream_dedupe(spark, folder + "/in", schema, folder + "/out", folder + "/cp", buckets=4).awaitTermination()
+    assert {r["id"] for r in I.read_table(spark, folder + "/out/_ids").collect()} >= {"a", "b"}
+
+
+class FakeHandle:
+    """Value states and timers of one key, kept in dictionaries."""
+
+    def __init__(self):
+        self.values, self.ttl, self.timers = {}, {}, []
+
+    def getValueState(self, name, schema, ttl=None):
+        self.ttl[name] = ttl
+        values_ = self.values
+
+        class State:
+            def exists(self):
+                return name in values_
+
+            def get(self):
+                return values_[name]
+
+            def update(self, value):
+                values_[name] = value
+
+            def clear(self):
+                values_.pop(name, None)
+
+        return State()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_evidence_order_and_tombstones():
+    import pandas as pd
+
+    from postmart.streaming.status import RunTracker
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 1000
+
+    def polls(*rows):
+        return pd.DataFrame(rows, columns=["at", "status", "decided_by"])
+
+    def tracker():
+        t, handle = RunTracker(50, 700), FakeHandle()
+        t.init(handle)
+        return t, handle, lambda *frames: [tuple(r) for out in t.handleInputRows(("r",), iter(frames), Clock()) for r in out.itertuples(index=False)]
+
+    t, handle, feed = tracker()
+    assert feed(polls((5, "running", "listing"))) == [] and handle.timers == [1050] and handle.ttl == {"run": None, "ended": 700}
+    assert feed(polls((3, "running", "old news"))) == [] and handle.values["run"] == ("running", "listing", 2, 5)
+    # The earliest end counts, whichever batch it is in.
+    assert feed(polls((9, "failed", "result")), polls((8, "done", "stats"), (7, "running", "none"))) == [("r", "done", "stats", 5)]
+    assert feed(polls((1, "failed", "late"))) == [] and "run" not in handle.values
+    assert list(t.handleExpiredTimer(("r",), Clock(), None)) == []
+    t, handle, feed = tracker()
+    feed(polls((5, "running", "listing")))
+    assert [tuple(r) for out in t.handleExpiredTimer(("r",), Clock(), None) for r in out.itertuples(index=False)] == [("r", "timeout", "listing", 1)]
+    assert feed(polls((6, "done", "stats"))) == []

@@ -217,6 +217,7 @@ def _(v):
 
 @query("stream_dedupe", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events")
 def _(v):
+    """Two runs over halves of the events; ids of the first run are known from the ledger."""
     from postmart.streaming.ingest import stream_dedupe
 
     root = scratch(v)
@@ -238,3 +239,76 @@ def _(v):
         rows.where(F.col("event_id") % 2 == half).write.mode("append").json(f"{root}/in")
         write_ndjson_stream(v.spark, f"{root}/in", rows.schema, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return v.spark.read.schema(rows.schema).json(f"{root}/out")
+
+
+_CUT = "2024-01-20"
+_SQL_WALK = f"""
+marked_feed AS (SELECT *, published_at < '{_CUT} 00:00:00' AS is_old FROM feed_v WHERE page % 10 <> 7),
+stops AS (SELECT feed, min(pos) AS stop FROM marked_feed WHERE is_old AND NOT is_top GROUP BY feed),
+walk AS (SELECT m.*, stop, NOT is_old AND (stop IS NULL OR pos < stop) AS taken, (stop - 1) // 50 + 1 AS last_page FROM marked_feed m LEFT JOIN stops USING (feed))"""
+
+
+def _walked(v) -> str:
+    """Every feed read in three runs, in the order of its pages, up to the cut; the second run brings some pages of the
+    first one once more."""
+    from postmart.streaming.ingest import stream_ingest
+    from workload.q_feed import feed_payloads
+
+    root = scratch(v)
+    pages = feed_payloads(v).withColumn("reading", F.lit("r1"))
+    for part in (F.col("page") <= 6, F.col("page").between(5, 12), F.col("page") > 12):
+        pages.where(part).write.mode("append").json(f"{root}/landing")
+        stream_ingest(v.spark, f"{root}/landing", f"{root}/log", f"{root}/checkpoint", cut=_CUT).awaitTermination()
+    return f"{root}/log"
+
+
+@query("stream_ingest_stops", f"WITH {_SQL_WALK.strip()} SELECT feed, page, (pos - 1) % 50 AS pos, id, is_top FROM walk WHERE taken")
+def _(v):
+    """What a reading takes when its end is found in one batch and later batches bring pages behind it."""
+    from postmart.streaming.ingest import read_log
+
+    rows = read_log(v.spark, _walked(v))
+    return rows.select("feed", "page", "pos", "id", "is_top").distinct()
+
+
+@query("progress_events", f"""
+WITH {_SQL_WALK.strip()},
+pages AS (SELECT feed, page, count(*) FILTER (taken) AS page_items, count(*) FILTER (is_old) AS late, coalesce(min(last_page) <= page, false) AS stopped
+  FROM walk WHERE last_page IS NULL OR page <= last_page GROUP BY feed, page)
+SELECT 'progress' AS type, feed, page, page_items, CAST(sum(page_items) OVER (PARTITION BY feed ORDER BY page) AS BIGINT) AS items_seen, late, stopped, NULL AS pages_read FROM pages
+UNION ALL SELECT 'done', feed, NULL, NULL, CAST(sum(page_items) AS BIGINT), CAST(sum(late) AS BIGINT), bool_or(stopped), count(*) FROM pages GROUP BY feed""")
+def _(v):
+    """The events of every page and reading, from the table that the ingestion keeps."""
+    from postmart.streaming.ingest import feed_events
+
+    return feed_events(v.spark, _walked(v)).select("type", "feed", "page", "page_items", "items_seen", "late", "stopped", "pages_read")
+
+
+@query("track_run_status", """
+WITH polls AS (SELECT user_id, epoch_us(ts) * 1000 + event_id % 1000 AS moment,
+  CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'refund' THEN 'cancelled' ELSE 'running' END AS status,
+  event_id % 2 AS half FROM events),
+ends AS (SELECT user_id, half, min(struct_pack(moment := moment, status := status)) AS ending FROM polls WHERE status <> 'running' GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS run_id, arg_min(ending.status, half) AS status, 'listing' AS decided_by FROM ends GROUP BY user_id""")
+def _(v):
+    """Polls that land in two halves, late ones among them: a run ends by the earliest end of the first half that has one."""
+    from postmart.streaming.status import track_run_status
+
+    root, key = scratch(v), "spark.sql.streaming.stateStore.providerClass"
+    e, kind = v.table("events"), F.col("event_type")
+    listed = F.when(kind == "purchase", "done").when(kind == "error", "failed").when(kind == "refund", "cancelled").otherwise("running")
+    polls = e.select(
+        F.col("user_id").cast("string").alias("run_id"), F.lit(False).alias("core"), listed.alias("listed"), (kind == "purchase").alias("listed_core"),
+        F.lit(None).cast("string").alias("state"), F.lit(False).alias("has_errors"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("at"), "event_id")
+    before = v.spark.conf.get(key)
+    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for half in (0, 1):
+            polls.where(F.col("event_id") % 2 == half).drop("event_id").write.mode("append").json(f"{root}/polls")
+            landed = v.spark.readStream.schema(polls.drop("event_id").schema).json(f"{root}/polls")
+            ended = track_run_status(landed, 86_400_000).writeStream.format("json").option("path", f"{root}/ended")
+            # One batch for each half: with timers pending a query has always something to do.
+            ended.option("checkpointLocation", f"{root}/checkpoint").trigger(once=True).start().awaitTermination()
+    finally:
+        v.spark.conf.set(key, before)
+    return v.spark.read.schema("run_id string, status string, decided_by string").json(f"{root}/ended")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postmart.llm.common import Scratch, text_or_empty
+from postmart.llm.tokens import byte_level
 
 #: Share of the sequences that waiting documents need at least which one round opens.  Smaller shares come
 #: closer to one-by-one best fit and take more rounds: about 13 for 99.9 % of the best possible here.
@@ -28,7 +28,8 @@ _SPECIAL = "<|endoftext|>"
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text to ids, as little-endian unsigned 32-bit numbers: those of the byte-level BPE in ``path``
-    (``*.json``), for speed computed from the same vocabulary as ranks (``*.tiktoken`` beside it).
+    (``*.json``), for speed computed from the ranks of its own vocabulary, if it is such that ranks decide
+    (``byte_level``).
 
     A space between two other characters begins a new pre-token, so texts are cut there and the ids of each
     unit are remembered.  Texts with white space after a space, or with a special token's string, go through the
@@ -37,11 +38,9 @@ def encoder(path: str) -> Callable[[str], bytes]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = byte_level(path)[1]
+    fast = ranks and tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole: list[Tokenizer] = []
-    known: dict[str, bytes] = {}
 
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
@@ -58,7 +57,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     known = Known()
 
     def encode(text: str) -> bytes:
-        if _SPECIAL in text or _UNSAFE.search(text):
+        if not fast or _SPECIAL in text or _UNSAFE.search(text):
             if not whole:
                 whole.append(Tokenizer.from_file(path))
             return packed(whole[0].encode(text, add_special_tokens=False).ids)

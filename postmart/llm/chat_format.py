@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 #: Turn numbers that are merged in one group before the groups of a conversation meet.
 SEGMENT = 256
+#: Parts of a conversation whose places are found together.
+PARTS = 128
 
 
 def escape(text: Column) -> Column:
@@ -19,19 +21,25 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _merge(turns: Column) -> Column:
-    """Array of (role, texts) with neighbours of one role as one entry."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """Array of (role, texts) with neighbours of one role as one entry, in time proportional to the turns."""
+
+    def runs(t: Column) -> Column:
+        role = lambda i: F.get(t, i)["role"]
+        begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (role(i) != role(F.greatest(i - 1, F.lit(0)))))
 
-    def add(done: Column, turn: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        entry = lambda texts: F.array(F.struct(turn["role"].alias("role"), texts.alias("texts")))
-        return F.when(
-            last["role"] == turn["role"],
-            F.concat(F.slice(done, 1, F.size(done) - 1), entry(F.concat(last["texts"], F.array(turn["text"])))),
-        ).otherwise(F.concat(done, entry(F.array(turn["text"]))))
+        def entry(s: Column):
+            texts = lambda b, k: F.slice(t, b + 1, F.coalesce(F.get(s, k + 1), F.size(t)) - b)["text"]
+            return F.transform(s, lambda b, k: F.struct(role(b).alias("role"), texts(b, k).alias("texts")))
 
-    return F.aggregate(turns, empty, add)
+        return _bound(begins, entry)
+
+    return _bound(turns, runs)
 
 
 def format_chats(
@@ -107,11 +115,31 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def digest(chats: DataFrame, learn_from: str = "assistant") -> DataFrame:
-    """What a reader gets from formatted conversations: turns and learnt text as lengths and hashes."""
+def learnt_texts(formatted: Column, loss_runs: Column) -> Column:
+    """The texts under the loss mask, unescaped, in order: cut from ``formatted`` where the running sum of the parts'
+    lengths says.  Parts are taken ``PARTS`` at a time, so that finding a place never means to walk through a whole
+    long conversation."""
+    total = lambda runs: F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + r["chars"])
+    number = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(loss_runs) / PARTS).cast("int") - 1, F.lit(0)))
+    part = lambda b: F.slice(loss_runs, b * PARTS + 1, F.lit(PARTS))
+
+    def blocks(sizes: Column) -> Column:
+        begin = lambda b: F.aggregate(F.slice(sizes, F.lit(1), b), F.lit(0).cast("bigint"), lambda a, n: a + n)
+        text = lambda b: F.substr(formatted, (begin(b) + 1).cast("int"), F.get(sizes, b).cast("int"))
+        return F.transform(number, lambda b: F.struct(text(b).alias("text"), part(b).alias("runs")))
+
+    def cut(block: Column) -> Column:
+        at = lambda i: (total(F.slice(block["runs"], F.lit(1), i)) + 1).cast("int")
+        texts = F.transform(block["runs"], lambda r, i: F.when(r["loss"], unescape(F.substr(block["text"], at(i), r["chars"].cast("int")))))
+        return F.array_compact(texts)
+
+    return F.flatten(F.transform(_bound(F.transform(number, lambda b: total(part(b))), blocks), cut))
+
+
+def digest(chats: DataFrame) -> DataFrame:
+    """What a reader gets from formatted conversations: turns, and text under the loss mask, as lengths and hashes."""
     turns = chats.select("*", read_back(F.col("formatted")).alias("turns"))
-    turns = turns.select("*", F.filter("turns", lambda t: t["role"] == learn_from)["text"].alias("learnt"))
-    loss = turns.select("*", F.array_join("learnt", "").alias("loss"))
+    loss = turns.select("*", F.array_join(learnt_texts(F.col("formatted"), F.col("loss_runs")), "").alias("loss"))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return loss.select(
         "conv_id",

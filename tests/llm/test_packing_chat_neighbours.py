@@ -174,3 +174,18 @@ def test_bounds_hold():
     for i in range(5):
         d = np.sqrt(((q[i] - v) ** 2).sum(1))
         assert [x for _, x in found[i]] == (np.argsort(d, kind="stable")[:7] + 5).tolist()
+
+
+def test_the_digest_reads_the_mask(spark):
+    text = lambda i: f"text {i} <|end|> é \U0001f600 <\\\\|turn|>" * (i % 5)
+    rows = [(1, i, ("user", "assistant", "assistant", "system")[i % 4], text(i)) for i in range(700)] + [(2, 0, "user", "nothing to learn")]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    want = "".join(t for _, _, r, t in rows if r == "assistant")
+    got = {r["conv_id"]: r for r in chat_format.digest(chats).collect()}
+    assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+    assert (got[2]["loss_chars"], got[2]["loss_sha256"], got[1]["n_turns"]) == (0, hashlib.sha256(b"").hexdigest(), 700)
+    learnt = chats.where("conv_id = 1").select(chat_format.learnt_texts(F.col("formatted"), F.col("loss_runs"))).first()[0]
+    assert learnt == [t for _, _, r, t in rows if r == "assistant" and t]
+    shifted = chats.withColumn("loss_runs", F.transform("loss_runs", lambda r, i: F.struct((r["chars"] + F.when(i == 0, 1).otherwise(0)).alias("chars"), r["loss"].alias("loss"))))
+    assert chat_format.digest(shifted).where("conv_id = 1").first()["loss_sha256"] != got[1]["loss_sha256"]
+    assert "chars" in chat_format.digest(chats)._jdf.queryExecution().optimizedPlan().toString()

@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 __all__ = [
     "DEFAULT_POST_URL", "RUN_STATE_CODES", "RUN_STATUS_WORDS", "STAT_FIELDS", "TRADING_DAYS_PER_YEAR",
-    "business_today", "content_hash", "curve_time", "day_spine", "default_url", "epoch_ms", "flag01", "float_or_null",
-    "int_strict", "int_trunc", "is_blank", "keyword_hits", "logical_key", "map_run_status", "nonblank",
+    "business_today", "content_hash", "curve_time", "day_spine", "default_url", "epoch_ms", "flag01", "flag_json", "float_or_null", "int_json",
+    "int_strict", "int_trunc", "truthy_json", "is_blank", "keyword_hits", "logical_key", "map_run_status", "nonblank",
     "normalize_tags", "parse_time", "period_years", "preview", "redact", "rstrip_ws", "split_date_range", "squash_ws",
     "strip_controls", "strip_ws", "to_ratio", "truncation_flag", "url_param", "vget", "vkind", "vlist",
 ]
@@ -109,8 +109,37 @@ def int_trunc(c: Column | str) -> Column:
 
 
 def flag01(c: Column | str) -> Column:
-    """True for a non-zero whole number (or JSON ``true``), false for everything else."""
-    return F.coalesce(int_strict(c) != 0, F.lower(_c(c).cast("string")) == "true", F.lit(False))
+    """True for the text of a non-zero whole number, false for everything else."""
+    return F.coalesce(int_strict(c) != 0, F.lit(False))
+
+
+def int_json(v: Column | str, path: str, default: int | None = None) -> Column:
+    """Whole number of a JSON value: numbers lose their fraction, ``true`` is 1 and ``false`` 0, text must be a whole
+    number; anything else gives ``default``.  The kind is looked at only where the text is not a whole number."""
+    text = vget(v, path)
+    kind = vkind(vget(v, path, "variant"))
+    other = (
+        F.when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0).cast("bigint"))
+        .when(kind.isin("DOUBLE", "FLOAT", "DECIMAL"), text.try_cast("decimal(38,10)").try_cast("bigint"))
+    )
+    value = F.coalesce(int_strict(text), F.when(text.isNotNull(), other))
+    return value if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
+
+
+def flag_json(v: Column | str, path: str) -> Column:
+    """Whether a JSON value is a whole number other than 0 in the sense of ``int_json``."""
+    return F.coalesce(int_json(v, path) != 0, F.lit(False))
+
+
+def truthy_json(v: Column | str, path: str) -> Column:
+    """Loose truth of a JSON value: missing, null, false, 0, empty text, an empty list and an empty object are false."""
+    text, kind = vget(v, path), vkind(vget(v, path, "variant"))
+    whole = F.to_json(vget(v, path, "variant"))
+    return F.coalesce(
+        F.when(kind == "STRING", text != "").when(kind == "BOOLEAN", text == "true")
+        .when(kind.isin("OBJECT", "ARRAY"), ~whole.isin("{}", "[]")).when(kind != "VOID", text.try_cast("double") != 0),
+        F.lit(False),
+    )
 
 
 def truncation_flag(c: Column | str) -> Column:

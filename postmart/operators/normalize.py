@@ -19,11 +19,11 @@ def _text(v: Column, path: str) -> Column:
 
 
 def _count(v: Column, path: str) -> Column:
-    return X.int_strict(X.vget(v, path), 0)
+    return X.int_json(v, path, 0)
 
 
 def _flag(v: Column, path: str) -> Column:
-    return X.flag01(X.vget(v, path))
+    return X.flag_json(v, path)
 
 
 def _common(v: Column) -> dict[str, Column]:
@@ -93,7 +93,7 @@ def normalize_post_detail(
     fields["dislike_count"] = _count(v, "disLikeCount")
     fields["is_rich"] = _flag(v, "isRich")
     fields["is_worth"] = _flag(v, "isWorth")
-    fields["type"] = X.int_strict(X.vget(v, "type"))
+    fields["type"] = X.int_json(v, "type")
     fields["status"] = _text(v, "status")
     fields["ip_address"] = _text(v, "ipAddress")
     fields["backtest"] = F.struct(
@@ -299,14 +299,14 @@ def flatten_reply_tree(df: DataFrame, reply: str = "reply", keys: tuple[str, ...
             _text(v, "ipAddress").alias("ip_address"),
             _flag(v, "isBest").alias("is_best"),
             _flag(v, "isRich").alias("is_rich"),
-            truthy(X.vget(v, "isOwner")).alias("is_owner"),
-            truthy(X.vget(v, "isPostUser")).alias("is_post_user"),
+            X.truthy_json(v, "isOwner").alias("is_owner"),
+            X.truthy_json(v, "isPostUser").alias("is_post_user"),
             _text(v, "backtestId").alias("backtest_id"),
             _text(v, "backtestName").alias("backtest_name"),
             X.float_or_null(X.vget(v, "overallReturn")).alias("overall_return"),
             _text(v, "pReplyId").alias("stated_parent_id"),
             _text(v, "oReplyId").alias("original_reply_id"),
-            X.int_strict(X.vget(v, "subReply.leaveCount"), 0).alias("remaining_count"),
+            X.int_json(v, "subReply.leaveCount", 0).alias("remaining_count"),
         ]
 
     def children(v: Column) -> Column:
@@ -335,11 +335,6 @@ def flatten_reply_tree(df: DataFrame, reply: str = "reply", keys: tuple[str, ...
                  F.concat("__path", F.array(F.col("__pos").cast("bigint"))).alias("path"))
 
 
-def truthy(c: Column) -> Column:
-    """Loose truth of a JSON scalar given as text: missing, '', false and 0 are false."""
-    return F.coalesce(~F.lower(c).isin("", "false", "0", "0.0", "null"), F.lit(False))
-
-
 def normalize_backtest_rows(rows: DataFrame, cells: str = "cells", attrs: str = "attrs") -> DataFrame:
     """Listing rows (cells array, attribute map with lower-case names) to runs.  A first cell made of
     digits is the leading number column; otherwise one more column (a check box) comes before it."""
@@ -351,9 +346,10 @@ def normalize_backtest_rows(rows: DataFrame, cells: str = "cells", attrs: str =
     attr = lambda name: F.coalesce(F.try_element_at(attrs, F.lit(name)), F.lit(""))
     period = X.split_date_range(cell(3))
     return rows.select(
-        *[c for c in rows.columns if c not in (cells, attrs)],
+        *[c for c in rows.columns if c not in (cells, attrs, "source_id")],
         F.coalesce(X.nonblank(attr("_backtestid2")), attr("_backtestid")).alias("id"),
         attr("_backtestid").alias("list_id"),
+        F.coalesce(F.col("source_id"), F.lit("")).alias("source_id") if "source_id" in rows.columns else F.lit("").alias("source_id"),
         cell(1).alias("name"),
         X.map_run_status(attr("_status"), F.array_join(cells, " ")).alias("status"),
         period["start"].alias("start_date"),

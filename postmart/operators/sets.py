@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from postmart.functions.scalars import is_blank
 from postmart.operators.skew import join_facts
 from postmart.operators.windows import first_wins
-from postmart.session import cut_lineage
+from postmart.session import checkpoint_dir, cut_lineage, delete_on_exit
 
 
 def union_seeds(frames: list[DataFrame], line: str = "line_no") -> DataFrame:
@@ -39,25 +40,35 @@ def walk_folders(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``edges``: (parent, child, pos) with ``pos`` the place of the child on the parent's pages.
     ``roots``: (folder).  Output: (folder, depth, path), where ``path`` is the list of places from the
-    root; (depth, path) sorts folders in visiting order.  One join per level, with the frontier and the
-    visited set checkpointed, so the plan does not grow with depth and any fan-out stays distributed."""
+    root; (depth, path) sorts folders in visiting order.  One join per level.  Every level is a folder of its own,
+    written once, and the visited set is all of them together: what is written follows the frontier, the plan does
+    not grow with depth, and any fan-out stays distributed."""
+    spark = edges.sparkSession
     edges = edges.where(~is_blank(F.col("child").cast("string")))
-    frontier = cut_lineage(
-        roots.select("folder", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"))
-    )
-    visited = frontier
-    while not frontier.isEmpty():
-        # A folder with very many children is a hot key of the edge side only; see join_facts.
-        known = frontier.withColumnRenamed("folder", "parent")
-        reached = join_facts(edges, known, "parent", ["child", "pos"]).where(F.col("depth").isNotNull()).select(
+    # Counted once, so that a folder with very many children is known as a hot key at every level.
+    sizes = cut_lineage(edges.groupBy("parent").agg(F.count(F.lit(1)).alias("__n")))
+    root = f"{checkpoint_dir(spark)}/walk-{uuid.uuid4().hex}"
+    frontier = roots.select("folder", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"))
+    schema, level = frontier.schema, 0
+
+    def stored(*levels: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{root}/level={k}" for k in levels])
+
+    while True:
+        frontier.write.parquet(f"{root}/level={level}")
+        frontier = stored(level)
+        if frontier.isEmpty():
+            delete_on_exit(spark, root)
+            return stored(*range(level + 1))
+        known = frontier.withColumnRenamed("folder", "parent").join(sizes, "parent")
+        reached = join_facts(edges, known, "parent", ["child", "pos"], rows="__n").where(F.col("depth").isNotNull()).select(
             F.col("child").alias("folder"),
             (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"),
         )
         first = first_wins(reached, "folder", ["depth", "path"])
-        frontier = cut_lineage(first.join(visited.select("folder"), "folder", "left_anti"))
-        visited = cut_lineage(visited.unionByName(frontier))
-    return visited
+        frontier = first.join(stored(*range(level + 1)).select("folder"), "folder", "left_anti").select(*schema.names)
+        level += 1
 
 
 def walk_items(folders: DataFrame, items: DataFrame) -> DataFrame:

@@ -4,9 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from postmart.functions.scalars import day_spine, is_blank
 from postmart.operators.aggregates import day_summary, page_integrity, records_complete
 from postmart.operators.normalize import series_to_points
 from postmart.operators.windows import check_offsets, open_series
+from postmart.sinks.publish import publish_snapshot
+
+
+KINDS = ("positions", "orders")
+
+
+def expected_parts(listing_items: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a snapshot of the listed simulations needs: (sim_id, kind, requested_date) of every calendar day of each
+    one's span, for both kinds of records, and (series_id) of each one's curve.
+
+    ``spans``: (sim_id, start, end).  A listed simulation without a span has no days to ask for, but a curve."""
+    listed = listing_items.where(~is_blank("id")).select(F.col("id").alias("sim_id")).distinct()
+    asked = listed.join(spans.select(F.col("sim_id").cast("string").alias("sim_id"), "start", "end"), "sim_id")
+    days = asked.select("sim_id", F.explode(day_spine("start", "end")).alias("day")).select("sim_id", F.col("day").cast("string").alias("requested_date"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind")
+    return days.select("sim_id", kinds, "requested_date"), listed.select(F.col("sim_id").alias("series_id"))
+
+
+def sync_snapshot(
+    listing: tuple[DataFrame, DataFrame], records: DataFrame, series: DataFrame, spans: DataFrame, root: str, intraday: DataFrame | None = None,
+) -> str:
+    """Publish a snapshot of all listed simulations, or raise and leave the one that is published.
+
+    Days and curves that have to be there follow from the listing and the spans."""
+    days, curves = expected_parts(listing[1], spans)
+    text = lambda df, c: df.withColumn(c, F.col(c).cast("string"))
+    parts = simulation_snapshot(*listing, text(records, "sim_id"), text(series, "series_id"), days, curves, intraday)
+    return publish_snapshot(*parts, root)
 
 
 def simulation_snapshot(

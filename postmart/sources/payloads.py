@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postmart.functions.scalars import flag01, float_or_null, int_strict, is_blank, truncation_flag, vget, vkind, vlist
+from postmart.functions.scalars import flag01, float_or_null, int_json, int_strict, is_blank, truncation_flag, truthy_json, vget, vkind, vlist
 from postmart.operators.filters import ANY_METRICS, CORE_METRICS, has_any_metrics, has_core_metrics
-from postmart.operators.normalize import truthy
 from postmart.operators.skew import join_facts
 from postmart.session import cut_lineage
 
@@ -50,7 +49,7 @@ def scan_feed_pages(df: DataFrame, payload: str = "payload", on_reject: str = "r
     rest = [c for c in pages.columns if c != "data"]
     exploded = pages.select(
         *rest,
-        int_strict(vget("data", "totalCount")).alias("total_count"),
+        int_json("data", "totalCount").alias("total_count"),
         vget("data", "currTime").alias("curr_time"),
         (F.posexplode_outer if keep_empty else F.posexplode)(vlist("data", "list")).alias("pos", "item"),
     )
@@ -85,9 +84,9 @@ def reply_summary(df: DataFrame, post: str = "post_id", page: str = "page", payl
     parts = pages.select(
         post, page,
         F.size(vlist("data", "replyArr")).alias("n"),
-        int_strict(vget("data", "totalCount")).alias("total"),
-        truthy(vget("data", "canChooseBest")).alias("best"),
-        truthy(vget("data", "isFaq")).alias("faq"),
+        int_json("data", "totalCount").alias("total"),
+        truthy_json("data", "canChooseBest").alias("best"),
+        truthy_json("data", "isFaq").alias("faq"),
         vget("data", "currTime").alias("time"),
     )
     at = F.col(page)
@@ -180,7 +179,7 @@ def scan_simulation_pages(df: DataFrame, payload: str = "payload") -> tuple[Data
 
     ``df``: (listing, page, payload)."""
     data = _simulation_data(df, payload)
-    pages = data.select("listing", "page", int_strict(vget("data", "totalCount")).alias("total"))
+    pages = data.select("listing", "page", int_json("data", "totalCount").alias("total"))
     rows = data.select("listing", "page", F.posexplode(vlist("data", "liveArr")).alias("pos", "row"))
     items = rows.select(
         "listing", "page", "pos", F.coalesce(vget("row", "backtestId"), F.lit("")).alias("id"),
@@ -200,11 +199,11 @@ def scan_series_pages(df: DataFrame, payload: str = "payload") -> DataFrame:
     result = vget("data", "result", "variant")
     empty = (F.coalesce(vkind(result), F.lit("VOID")) == "VOID") & (state == "0")
     broken = ~empty & (F.coalesce(vkind(result), F.lit("")) != "OBJECT")
-    count = F.when(empty, F.lit(0).cast("bigint")).otherwise(int_strict(vget(result, "count")))
+    count = F.when(empty, F.lit(0).cast("bigint")).otherwise(int_json(result, "count"))
     staged = data.select(
         "series_id", "page", state.alias("state"),
         F.when(broken, F.raise_error(F.lit("page without a result")).cast("bigint")).otherwise(count).alias("count"),
-        int_strict(vget(result, "offset")).alias("offset"),
+        int_json(result, "offset").alias("offset"),
         vget(result, "overallReturn.time", "array<bigint>").alias("time"),
         vget(result, "overallReturn.value", "array<double>").alias("value"),
         vget(result, "benchmark.time", "array<bigint>").alias("benchmark_time"),

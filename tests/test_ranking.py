@@ -59,14 +59,20 @@ def test_join_facts_spreads_nulls_and_never_matches_them(spark):
 
 
 @pytest.mark.parametrize("sort", ["published_desc", "published_asc", "sharpe_desc", "period_desc", "nonsense"])
-def test_pages_partition_the_result(spark, monkeypatch, sort):
+def test_pages_partition_the_result(spark, sort):
     rows = [(f"{i:03d}", f"2024-01-{1 + i % 5:02d}", None if i % 7 == 0 else float(i % 4), None, float(i % 3)) for i in range(95)]
     df = spark.createDataFrame(rows, "id string, published_at string, sharpe double, annual_return double, period_years double")
     want = [r["id"] for r in S.sort_posts(df, sort).collect()]
-    shallow = [r["id"] for p in (1, 2, 3) for r in S.page_posts(df, p, 40, sort).collect()]
-    monkeypatch.setattr(S, "TOP_K_ROWS", 0)
-    deep = [r["id"] for p in (1, 2, 3) for r in S.page_posts(df, p, 40, sort).collect()]
-    assert shallow == want and deep == want
+    index = S.PageIndex(df, sort)
+    jumped = [[r["id"] for r in S.page_posts(df, p, 20, sort, index).collect()] for p in (1, 2, 3, 4, 5, 6, 9)]
+    assert [i for page in jumped for i in page] == want and jumped[5:] == [[], []]
+    assert [r["id"] for r in S.page_posts(df, 3, 20, sort).collect()] == want[40:60]
+    walked, cursor = [], None
+    while page := S.page_after(df, cursor, 30, sort).collect():
+        walked += [r["id"] for r in page]
+        cursor = S.Cursor(page[-1][index._column], page[-1]["id"])
+    assert walked == want
+    assert S.page_posts(df.limit(0), 2, 20, sort).count() == 0
 
 
 def test_page_clamps():

@@ -27,7 +27,7 @@ def test_numbers(spark, text, strict, trunc, real):
     assert got == real or (got != got and real != real)
 
 
-@pytest.mark.parametrize("text,flag", [("1", True), ("0", False), ("2", True), ("-1", True), ("", False), (None, False), ("yes", False), ("true", True)])
+@pytest.mark.parametrize("text,flag", [("1", True), ("0", False), ("2", True), ("-1", True), ("", False), (None, False), ("yes", False), ("true", False)])
 def test_flag(spark, text, flag):
     assert one(spark, X.flag01("t"), t=text) is flag
 
@@ -135,3 +135,14 @@ def test_tags_keep_objects_only(spark):
     df = spark.createDataFrame([('[{"tagKey":"k","tagId":"i","name":"n"},{"tagId":9},3,"x",null]',)], "j string")
     tags = df.select(X.normalize_tags(X.vget(F.try_parse_json("j"), "", "array<variant>"))).first()[0]
     assert [tuple(t) for t in tags] == [("k", "n"), ("9", "")]
+
+
+@pytest.mark.parametrize("text,number,flag,loose", [
+    ("3", 3, True, True), ("3.7", 3, True, True), ("-3.7", -3, True, True), ("0.5", 0, False, True), ("true", 1, True, True), ("false", 0, False, False),
+    ('"true"', None, False, True), ('"3"', 3, True, True), ('"3.7"', None, False, True), ('"0"', 0, False, True), ('""', None, False, False), ("null", None, False, False),
+    ("[]", None, False, False), ("[0]", None, False, True), ("{}", None, False, False), ('{"a":1}', None, False, True), ("0", 0, False, False), ("0.0", 0, False, False), ("1e3", 1000, True, True),
+])
+def test_values_by_json_kind(spark, text, number, flag, loose):
+    df = spark.createDataFrame([(f'{{"x": {text}}}',)], "t string").select(F.parse_json("t").alias("v"))
+    row = df.select(X.int_json("v", "x"), X.int_json("v", "x", 0), X.flag_json("v", "x"), X.truthy_json("v", "x"), X.int_json("v", "gone"), X.flag_json("v", "gone"), X.truthy_json("v", "gone")).first()
+    assert tuple(row) == (number, number or 0, flag, loose, None, False, False)

@@ -246,3 +246,17 @@ def test_payload_decoding(spark):
     df = spark.createDataFrame(rows, "content string, format string")
     got = [(None if r["bytes"] is None else bytes(r["bytes"]), r["problem"]) for r in N.decode_payload(df).collect()]
     assert got == [(b"hi", None), (None, "invalid base64"), (b"h\ni", None), (b'{"a":1}', None), (None, "invalid JSON"), (None, "unknown format"), (None, "no content")]
+
+
+def test_what_a_deep_walk_writes(spark, monkeypatch):
+    """A chain of folders: every level is written once, and is no larger than the first ones."""
+    import glob
+    import os
+
+    written = []
+    monkeypatch.setattr(U, "delete_on_exit", lambda _, root: written.append(root))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0) for i in range(12)], "parent string, child string, pos bigint")
+    walked = U.walk_folders(edges, spark.createDataFrame([("n0",)], "folder string"))
+    assert sorted((r["folder"], r["depth"]) for r in walked.collect()) == sorted((f"n{i}", i) for i in range(13))
+    size = [sum(os.path.getsize(f) for f in glob.glob(f"{written[0]}/level={k}/part-*") if spark.read.parquet(f).count()) for k in range(13)]
+    assert all(size) and max(size) < 2 * min(size)

@@ -5,6 +5,7 @@ Files go below the shared folder of the session (``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F, types as T
 
@@ -12,7 +13,7 @@ from postmart import sinks as K
 from postmart.functions.scalars import DEFAULT_POST_URL
 from postmart.operators import filters, windows as W
 from postmart.operators.aggregates import day_summary, page_integrity
-from postmart.session import checkpoint_dir
+from postmart.session import checkpoint_dir, cut_lineage
 from postmart.sinks.publish import STATE_SCHEMA, published_path, read_published
 from postmart.sources.files import scan_id_csv, scan_json_document, scan_jsonl_strict
 from postmart.sources import payloads as S
@@ -289,7 +290,8 @@ WITH polls AS (SELECT user_id, epoch_us(ts) * 1000 + event_id % 1000 AS moment,
   CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'refund' THEN 'cancelled' ELSE 'running' END AS status,
   event_id % 2 AS half FROM events),
 ends AS (SELECT user_id, half, min(struct_pack(moment := moment, status := status)) AS ending FROM polls WHERE status <> 'running' GROUP BY ALL)
-SELECT CAST(user_id AS VARCHAR) AS run_id, arg_min(ending.status, half) AS status, 'listing' AS decided_by FROM ends GROUP BY user_id""")
+SELECT CAST(user_id AS VARCHAR) AS run_id, arg_min(ending.status, half) AS status,
+  CASE WHEN arg_min(ending.status, half) = 'done' THEN 'listing stats' ELSE 'listing' END AS decided_by FROM ends GROUP BY user_id""")
 def _(v):
     """Polls that land in two halves, late ones among them: a run ends by the earliest end of the first half that has one."""
     from postmart.streaming.status import track_run_status
@@ -312,3 +314,63 @@ def _(v):
     finally:
         v.spark.conf.set(key, before)
     return v.spark.read.schema("run_id string, status string, decided_by string").json(f"{root}/ended")
+
+
+@query("simulation_snapshot", """
+WITH users AS (SELECT DISTINCT user_id FROM events),
+early AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-06')
+SELECT 'listing' AS part, count(*) AS n FROM users UNION ALL SELECT 'days', count(*) * 10 FROM users UNION ALL SELECT 'points', count(*) FROM events
+UNION ALL SELECT 'records', CAST(sum(CASE WHEN n = 0 THEN 1 ELSE n END) AS BIGINT) FROM (
+  SELECT count(e.user_id) AS n FROM users u CROSS JOIN range(1, 6) d(day) CROSS JOIN (VALUES ('positions'), ('orders')) k(kind)
+  LEFT JOIN early e ON e.user_id = u.user_id AND day(e.ts) = d.day AND (kind = 'positions' OR event_type = 'purchase') GROUP BY u.user_id, d.day, kind) x
+UNION ALL SELECT 'refused', 3""")
+def _(v):
+    """Every user is a simulation with five days of records and a curve that ends with an empty page of any offset.  The whole
+    is published; without one day, one curve or one end page it is refused, and what was published stays."""
+    from postmart.operators.ranking import global_rank
+    from postmart.plans.snapshot import sync_snapshot
+    from workload.q_curves import curve_payloads
+
+    e, root = v.table("events"), scratch(v)
+    users = cut_lineage(global_rank(e.select("user_id").distinct(), [("user_id", False)], "rank"))
+    answer = lambda data: F.to_json(F.struct(F.lit("00000").alias("code"), data.alias("data")))
+    rows = F.sort_array(F.collect_list(F.struct("rank", F.col("user_id").cast("string").alias("backtestId"))))
+    pages = users.groupBy((F.floor((F.col("rank") - 1) / 50) + 1).alias("page")).agg(rows.alias("liveArr"))
+    data = F.struct(F.lit(users.count()).alias("totalCount"), "liveArr")
+    listing = S.scan_simulation_pages(cut_lineage(pages.select(F.lit("all").alias("listing"), "page", answer(data).alias("payload"))))
+
+    days = users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("day"))
+    day = F.format_string("2024-01-%02d", F.col("day"))
+
+    def records(kind, chosen):
+        items = e.where(chosen).where(F.col("ts") < "2024-01-06").groupBy("user_id", F.day("ts").alias("day")).agg(
+            F.collect_list(F.struct(F.substring(F.col("ts").cast("string"), 1, 10).alias("date"))).alias("list"))
+        empty = F.from_json(F.lit("[]"), "array<struct<date:string>>")
+        whole = days.join(items, ["user_id", "day"], "left").withColumn("list", F.coalesce("list", empty))
+        data = F.struct(F.lit(False).alias("isLimit"), F.col("list").alias(S.DAY_RECORD_KEYS[kind]))
+        landed = cut_lineage(whole.select(F.col("user_id").alias("sim_id"), day.alias("requested_date"), answer(data).alias("payload")))
+        return S.scan_day_records(landed, kind)
+
+    both = records("positions", F.lit(True)).unionByName(records("orders", F.col("event_type") == "purchase"))
+    curves = cut_lineage(curve_payloads(v))
+    last = curves.groupBy("series_id").agg((F.max("page") + 1).alias("page"))
+    line = F.from_json(F.lit('{"time":[],"value":[]}'), "struct<time:array<bigint>,value:array<double>>")
+    end = F.struct(F.lit("2").alias("state"), F.struct(F.lit(0).alias("count"), F.lit(77).alias("offset"), line.alias("overallReturn"), line.alias("benchmark")).alias("result"))
+    series = S.scan_series_pages(curves.unionByName(last.select("series_id", "page", answer(end).alias("payload"))))
+    spans = users.select(F.col("user_id").alias("sim_id"), F.lit("2024-01-01").alias("start"), F.lit("2024-01-05").alias("end"))
+
+    one = users.agg(F.min("user_id")).first()[0]
+    sync_snapshot(listing, both, series, spans, root)
+    path, refused = published_path(v.spark, root), 0
+    for r, c in (
+        (both.where(~((F.col("sim_id") == one) & (F.col("requested_date") == "2024-01-03"))), series),
+        (both, series.where(F.col("series_id") != one)),
+        (both, series.where(~((F.col("series_id") == one) & (F.col("count") == 0)))),
+    ):
+        try:
+            sync_snapshot(listing, r, c, spans, root)
+        except K.publish.IncompleteSnapshot:
+            refused += published_path(v.spark, root) == path
+    counts = [v.spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n")) for p in ("listing", "records", "days", "points")]
+    counts.append(v.spark.range(1).select(F.lit("refused").alias("part"), F.lit(refused).cast("bigint").alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), counts)

@@ -348,15 +348,14 @@ def _(v):
         empty = F.from_json(F.lit("[]"), "array<struct<date:string>>")
         whole = days.join(items, ["user_id", "day"], "left").withColumn("list", F.coalesce("list", empty))
         data = F.struct(F.lit(False).alias("isLimit"), F.col("list").alias(S.DAY_RECORD_KEYS[kind]))
-        landed = cut_lineage(whole.select(F.col("user_id").alias("sim_id"), day.alias("requested_date"), answer(data).alias("payload")))
-        return S.scan_day_records(landed, kind)
+        return S.scan_day_records(whole.select(F.col("user_id").alias("sim_id"), day.alias("requested_date"), answer(data).alias("payload")), kind)
 
-    both = records("positions", F.lit(True)).unionByName(records("orders", F.col("event_type") == "purchase"))
+    both = cut_lineage(records("positions", F.lit(True)).unionByName(records("orders", F.col("event_type") == "purchase")))
     curves = cut_lineage(curve_payloads(v))
     last = curves.groupBy("series_id").agg((F.max("page") + 1).alias("page"))
     line = F.from_json(F.lit('{"time":[],"value":[]}'), "struct<time:array<bigint>,value:array<double>>")
     end = F.struct(F.lit("2").alias("state"), F.struct(F.lit(0).alias("count"), F.lit(77).alias("offset"), line.alias("overallReturn"), line.alias("benchmark")).alias("result"))
-    series = S.scan_series_pages(curves.unionByName(last.select("series_id", "page", answer(end).alias("payload"))))
+    series = cut_lineage(S.scan_series_pages(curves.unionByName(last.select("series_id", "page", answer(end).alias("payload")))))
     spans = users.select(F.col("user_id").alias("sim_id"), F.lit("2024-01-01").alias("start"), F.lit("2024-01-05").alias("end"))
 
     one = users.agg(F.min("user_id")).first()[0]

@@ -104,8 +104,14 @@ def enrich_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def resume_anti(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key is not yet in the output."""
-    return rows.join(done.where(~is_blank(key)).select(key).distinct(), key, "left_anti")
+    """Rows whose key is not yet in the output.  Rows with a blank key are never in it; they keep out of each other's
+    way by a hash of their other columns."""
+    blank, others = is_blank(F.col(key).cast("string")), [c for c in rows.columns if c != key]
+    elsewhere = F.struct(F.lit(None).cast(rows.schema[key].dataType).alias("key"), F.xxhash64(*others, F.spark_partition_id()).alias("salt"))
+    own = F.struct(F.col(key).alias("key"), F.lit(None).cast("bigint").alias("salt"))
+    known = done.where(~is_blank(F.col(key).cast("string"))).select(F.struct(F.col(key).cast(rows.schema[key].dataType).alias("key"), F.lit(None).cast("bigint").alias("salt")).alias("__seen")).distinct()
+    placed = rows.withColumn("__own", F.when(blank, elsewhere).otherwise(own))
+    return placed.join(known, F.col("__own").eqNullSafe(F.col("__seen")), "left_anti").drop("__own")
 
 
 def resolve_run(ids: DataFrame, runs: DataFrame, id_columns=("id", "list_id", "source_id"), pos: str = "pos") -> DataFrame:

@@ -77,10 +77,10 @@ def merge_into(archive: DataFrame, incoming: DataFrame, key: str = "id", base_ur
 def count_changed(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """How many keys are new or differ in any column.
 
-    Counts changed keys.  A row-by-row import would count every row that altered its key's state; the
+    Rows travel as a key and a 128-bit hash of the other columns.  Counts changed keys.  A row-by-row import would count every row that altered its key's state; the
     two agree whenever a batch brings each key once."""
     columns = [c for c in after.columns if c != key]
-    fingerprint = lambda df: df.select(key, F.to_json(F.struct(*sorted(columns))).alias("row"))
+    fingerprint = lambda df: df.select(key, F.unhex(F.md5(F.to_json(F.struct(*sorted(columns))))).alias("row"))
     old = fingerprint(before).withColumnRenamed("row", "old")
     new = fingerprint(after).withColumnRenamed("row", "new")
     changed = new.join(old, key, "left").where(~F.col("new").eqNullSafe(F.col("old")))

@@ -5,23 +5,31 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from postmart.functions.scalars import is_blank
 from postmart.operators.skew import join_facts
 from postmart.operators.windows import first_wins
 from postmart.session import checkpoint_dir, cut_lineage, delete_on_exit
+from postmart.sources.files import resolved_paths, scan_jsonl_strict
 
 
 def union_seeds(frames: list[DataFrame], line: str = "line_no") -> DataFrame:
     """Union of seed tables in precedence order; later frames win in :func:`merge_versions`.
 
-    Adds ``source_rank``.  A frame passed twice counts once, at its first place."""
+    Adds ``source_rank``.  A frame passed twice counts once, at its first place; for files see ``read_seeds``."""
     distinct = list({id(frame): frame for frame in frames}.values())
     ranked = [frame.withColumn("source_rank", F.lit(rank)) for rank, frame in enumerate(distinct)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
+def read_seeds(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame | None:
+    """Union of seed archives in precedence order, see ``union_seeds``.  A path that leads to the same place as an
+    earlier one counts once, a missing one not at all; None when there are none."""
+    frames = [scan_jsonl_strict(spark, path, schema) for path in resolved_paths(spark, paths)]
+    return union_seeds(frames) if frames else None
+
+
 def distinct_ids(df: DataFrame, key: str = "id") -> DataFrame:
     return df.where(~is_blank(F.col(key).cast("string"))).select(F.col(key).cast("string").alias("id")).distinct()
 

@@ -12,6 +12,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def resolved_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Each existing path once, at its first place, by what it resolves to; missing ones are left out."""
+    found = []
+    for path in paths:
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(hadoop_path):
+            found.append(fs.resolvePath(hadoop_path).toString())
+    return list(dict.fromkeys(found))
+
+
 def _lenient(v: Column, path: str, kind: T.DataType) -> Column:
     """The value at ``path`` of a variant as ``kind``: numbers may be text or have a fraction, which a whole
     number drops; what does not fit is NULL."""

@@ -130,3 +130,13 @@ def test_stale_stats_error_survives_merge(spark):
     merged_row = M.merge_versions(spark.createDataFrame(rows, schema), "id", ["__source"]).first()
     assert merged_row["backtest"]["stats_error"] == "boom" and merged_row["backtest"]["stats"]["sharpe"] == 1.0
     assert F is not None
+
+
+def test_resume_with_blank_keys(spark):
+    from postmart.operators.joins import resume_anti
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("", 3), (None, 4), (None, 4), ("", 3)], "id string, n int")
+    done = spark.createDataFrame([("a",), ("",), (None,)], "id string")
+    assert sorted((r["n"] for r in resume_anti(rows, done).collect())) == [2, 3, 3, 4, 4]
+    numbers = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, v string")
+    assert [r["id"] for r in resume_anti(numbers, spark.createDataFrame([(1,)], "id int")).collect()] == [2]

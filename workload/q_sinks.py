@@ -373,3 +373,17 @@ def _(v):
     counts = [v.spark.read.parquet(f"{path}/{p}").agg(F.lit(p).alias("part"), F.count(F.lit(1)).alias("n")) for p in ("listing", "records", "days", "points")]
     counts.append(v.spark.range(1).select(F.lit("refused").alias("part"), F.lit(refused).cast("bigint").alias("n")))
     return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("read_seeds", """
+SELECT id, source_rank, published_at FROM (SELECT id, published_at, 0 AS source_rank FROM posts_v WHERE CAST(id AS BIGINT) % 2 = 0
+UNION ALL SELECT id, published_at, 1 FROM posts_v WHERE CAST(id AS BIGINT) % 3 = 0) s""")
+def _(v):
+    """Two seed archives in files; one is named again by another spelling of its path, one is missing."""
+    from postmart.operators.sets import read_seeds
+
+    root, rows = scratch(v), v.posts().select("id", "published_at", "content")
+    for name, n in (("a", 2), ("b", 3)):
+        rows.where(F.col("id").cast("bigint") % n == 0).write.json(f"{root}/{name}")
+    seeds = read_seeds(v.spark, [f"{root}/a", f"{root}/none", f"{root}/b", f"{root}/b/../a"], _DOC)
+    return seeds.select("id", F.col("source_rank").cast("int").alias("source_rank"), "published_at")

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from postmart.llm.common import Scratch, text_or_empty
+from postmart.operators.skew import join_facts
 
 #: Bytes of text that are hashed at once, that one shard of documents holds about, and that one automaton serves.
 CHUNK, SHARD_BYTES, AUTOMATON_BYTES = 1 << 20, 4 << 20, 16 << 20
@@ -153,6 +154,10 @@ def _key(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(_mix(_mix(ids.astype(np.int64).view(np.uint64)) ^ a) ^ b)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(_mix(a) ^ b)
+
+
 def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
@@ -190,9 +195,9 @@ def passages(g: Grams, ids: np.ndarray, confirmed: dict[str, tuple[np.ndarray, n
     for kind, (keys, earliest) in confirmed.items():
         if not len(keys):
             continue
-        have = _key(own, g.a, g.x) if kind == "phrase" else _key(own[g.unit], g.a[g.unit], g.windows(np.ones(len(g.at), bool)))
+        have = _pair(g.a, g.x) if kind == "phrase" else _pair(g.a[g.unit], g.windows(np.ones(len(g.at), bool)))
         slot = np.minimum(np.searchsorted(keys, have), len(keys) - 1)
-        found = np.where(keys[slot] == have, earliest[slot], none)
+        found = np.where((keys[slot] == have) & (earliest[slot] < (own if kind == "phrase" else own[g.unit])), earliest[slot], none)
         early = np.minimum(early, found[g.unit] if kind == "phrase" else found)
     hit = np.flatnonzero(early < none)
     if not len(hit):
@@ -233,7 +238,7 @@ def _cut_out(sharded: DataFrame, confirmed: DataFrame, window: int, with_text: b
         sets = {}
         for kind in ("phrase", "window"):
             part = known.filter(pc.equal(known.column("kind"), kind)) if known.num_rows else known
-            keys = _key(_column(part, "id"), _column(part, "a").view(np.uint64), _column(part, "b").view(np.uint64))
+            keys = _pair(_column(part, "a").view(np.uint64), _column(part, "b").view(np.uint64))
             order = np.argsort(keys)
             sets[kind] = keys[order], _column(part, "early")[order]
         ids, rows = docs.column("id").to_pylist(), []
@@ -271,7 +276,8 @@ def cut_repeats(
     2. A phrase that an earlier document has covers all its windows.  Only where an anchor has several
        surroundings, and only in the first document of each, windows are counted themselves: whichever
        document has a window first is the first one of its surroundings too, so nothing is missed.
-    3. Documents are dealt to shards with what was confirmed for them.  A shard's passages are compiled into an
+    3. Documents are dealt to shards.  What was confirmed goes once to each shard that has it, so a phrase of all
+       documents is as many rows as there are shards.  A shard's passages are compiled into an
        automaton and all its documents run through it, which finds every occurrence.
 
     A passage in very many documents is one row after counting, and no pair of documents is ever formed.  Rows
@@ -289,14 +295,15 @@ def cut_repeats(
     found = scratch.store(phrases(rows, window), "phrases")
     units = found.groupBy("a", "x").agg(F.min("id").alias("early"), F.max("id").alias("late"))
     units = scratch.store(units, "units")
-    several = units.groupBy("a").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low < high").select("a")
-    firsts = units.join(several, "a").select(shard_of("early"), F.col("early").alias("id"), "a", "x")
+    several = units.groupBy("a").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    several = several.select("a", "n", F.lit(True).alias("varied"))
+    firsts = join_facts(units, several, "a", ["x"], rows="n").where("varied").select(shard_of("early"), F.col("early").alias("id"), "a", "x")
     windows = scratch.store(_variant_windows(sharded, firsts, window), "windows")
-    seen = windows.groupBy("a", "h").agg(F.min("id").alias("early"), F.max("id").alias("late")).where("early < late").drop("late")
-    by_window = windows.join(seen, ["a", "h"]).where("id > early").distinct()
-    by_phrase = found.join(units.where("early < late").drop("late"), ["a", "x"]).where("id > early").distinct()
-    confirmed = by_phrase.select(shard_of("id"), "id", "a", F.col("x").alias("b"), "early", F.lit("phrase").alias("kind")).unionByName(
-        by_window.select(shard_of("id"), "id", "a", F.col("h").alias("b"), "early", F.lit("window").alias("kind"))
-    )
+    seen = windows.groupBy("a", "h").agg(F.min("id").alias("early"), F.max("id").alias("late"))
+    confirmed = None
+    for kind, places, first, b in (("phrase", found, units, "x"), ("window", windows, seen, "h")):
+        per_shard = places.select(shard_of("id"), "a", b).distinct().join(first.where("early < late").drop("late"), ["a", b])
+        part = per_shard.select("shard", "a", F.col(b).alias("b"), "early", F.lit(kind).alias("kind"))
+        confirmed = part if confirmed is None else confirmed.unionByName(part)
     return _cut_out(sharded, confirmed, window, with_text).withColumnRenamed("id", id_col)
 

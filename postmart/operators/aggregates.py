@@ -105,12 +105,18 @@ def feed_summary(pages: DataFrame, marked: DataFrame, feed: str = "feed") -> Dat
     """Closing numbers of one feed reading.
 
     ``pages``: (feed, page, total_count, curr_time) as landed.  ``marked``: rows with ``page``, ``pos``,
-    ``is_old`` and ``stop_kind`` (see ``mark_feed_stop``).  Pages after the stop were not read."""
+    ``is_old`` and ``stop_kind`` (see ``mark_feed_stop``).  A reading ends on the page of the first stop, or at
+    the first page without rows, whichever comes first: the empty page still states total and time but does
+    not count as read, and what lies behind it was never seen."""
     first_stop = F.when(F.col("stop_kind").isNotNull(), F.struct("page", "pos", "stop_kind"))
     stops = marked.groupBy(feed).agg(F.count(F.lit(1)).alias("n"), F.min(first_stop).alias("stop"))
-    upto = F.col("stop").isNull() | (F.col("page") <= F.col("stop.page"))
     with_rows = marked.groupBy(feed, "page").agg(F.count(F.lit(1)).alias("n_rows"))
-    read = join_facts(pages, stops, feed, ["page"], rows="n").where(upto).join(with_rows, [feed, "page"], "left")
+    sized = pages.join(with_rows, [feed, "page"], "left")
+    ends = sized.groupBy(feed).agg(F.count(F.lit(1)).alias("n_pages"), F.min(F.when(F.col("n_rows").isNull(), F.col("page"))).alias("end_page"))
+    open_end, met = F.col("end_page").isNull(), F.col("stop.page") < F.col("end_page")
+    facts = ends.join(stops, feed, "left").select(feed, "n_pages", "n", "end_page", F.when(open_end | met, F.col("stop")).alias("stop"))
+    upto = (F.col("stop").isNull() | (F.col("page") <= F.col("stop.page"))) & (open_end | (F.col("page") <= F.col("end_page")))
+    read = join_facts(sized, facts.drop("n"), feed, ["page"], rows="n_pages").where(upto)
     page_side = read.groupBy(feed).agg(
         F.count("n_rows").alias("pages_read"),
         F.min_by("total_count", F.when(F.col("total_count").isNotNull(), F.col("page"))).alias("total_count"),
@@ -119,8 +125,9 @@ def feed_summary(pages: DataFrame, marked: DataFrame, feed: str = "feed") -> Dat
         F.coalesce(F.bool_or(F.col("stop.stop_kind") == "since_id"), F.lit(False)).alias("stopped_by_since_id"),
     )
     before = F.col("stop").isNull() | (F.struct("page", "pos") < F.struct("stop.page", "stop.pos"))
+    before &= open_end | (F.col("page") < F.col("end_page"))
     seen = (
-        join_facts(marked, stops, feed, ["page", "pos"], rows="n").where(before & ~F.col("is_old"))
+        join_facts(marked, facts.drop("n_pages"), feed, ["page", "pos"], rows="n").where(before & ~F.col("is_old"))
         .groupBy(feed).agg(F.count(F.lit(1)).alias("items_seen"))
     )
     return page_side.join(seen, feed, "left").fillna(0, ["items_seen"])

@@ -117,15 +117,16 @@ def resume_anti(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
 def resolve_run(ids: DataFrame, runs: DataFrame, id_columns=("id", "list_id", "source_id"), pos: str = "pos") -> DataFrame:
     """First listing row (in ``pos`` order) that carries the wanted id under any of its identities.
 
-    The three-way OR becomes one equi-join by exploding each row's distinct identities.  Output:
-    ``wanted`` plus the listing columns, NULL where nothing matches."""
+    The three-way OR becomes one equi-join by exploding each row's distinct identities.  An id that is asked
+    for very often is split (:func:`join_facts`).  Output: ``wanted`` plus the listing columns, NULL where
+    nothing matches."""
     names = [c for c in runs.columns]
     keyed = runs.select(
         F.explode(F.array_distinct(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_columns]))).alias("wanted"),
         F.struct(*names).alias("row"),
     )
     first = keyed.groupBy("wanted").agg(F.min_by("row", F.col(f"row.{pos}")).alias("row"))
-    return ids.join(first, "wanted", "left").select(*ids.columns, *[F.col(f"row.{c}").alias(c) for c in names])
+    return join_facts(ids, first, "wanted", ids.columns).select(*ids.columns, *[F.col(f"row.{c}").alias(c) for c in names])
 
 
 def resolve_internal_id(ids: DataFrame, items: DataFrame, pos: str = "pos") -> DataFrame:

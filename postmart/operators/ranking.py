@@ -45,9 +45,12 @@ def split_running_sum(
     df: DataFrame, part: list[str], order: str, value: str, name: str, width: int = 4096
 ) -> DataFrame:
     """Inclusive running total of ``value`` along the whole-number column ``order`` (unique per group)."""
-    rows = _with_base(_bucketed(df, F.floor(F.col(order) / width)), part, F.sum(value), False)
     inside = Window.partitionBy(*part, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.sum(value).over(inside) + F.col(_BASE)).drop(_BUCKET, _BASE)
+    fine = _bucketed(df, F.floor(F.col(order) / width)).withColumn(name, F.sum(value).over(inside))
+    # A bucket's total is its last running total, so both uses of the window need the same columns of ``df``
+    # (all, where it has no others) and share one exchange: ``df`` is evaluated once.
+    placed = _with_base(fine, part, F.max_by(name, order), False)
+    return placed.withColumn(name, F.col(name) + F.col(_BASE)).drop(_BUCKET, _BASE)
 
 
 def range_bucket(df: DataFrame, key: Column, ranges: int | None = None) -> DataFrame:

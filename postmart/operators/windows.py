@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from postmart.functions.scalars import is_blank
 from postmart.operators.ranking import global_rank, split_running_sum
-from postmart.operators.skew import HOT_ROWS, join_facts
+from postmart.operators.skew import join_facts
 
 
-def mark_duplicates(index: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_duplicates(index: DataFrame, hot_rows: int = 0) -> DataFrame:
     """Hide all but the best post of every logical key.
 
     Best = has a backtest, most clones, most likes, highest id.  One aggregate finds (best id, count) per
@@ -90,21 +90,24 @@ def open_series(pages: DataFrame, series: str = "series_id") -> DataFrame:
 def assemble_log(pages: DataFrame, start: int = 0, run: str = "run_id") -> DataFrame:
     """Lines of each run's log with their absolute offset.
 
-    ``pages``: (run, page, lines array, is_last).  Line offsets come from a running total over page
-    sizes, so pages are never concatenated in one task."""
-    sized = pages.withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
-    read = _until_stop(sized, run)
-    placed = split_running_sum(read, [run], "page", "n_lines", "upto")
-    first = F.col("upto") - F.col("n_lines") + F.lit(start)
-    return placed.select(run, "page", first.alias("first"), F.posexplode("lines").alias("i", "line")).select(
+    ``pages``: (run, page, lines array, is_last), unique by (run, page).  Offsets come from a running total
+    over page sizes alone; the text is joined to them once, by (run, page), and never in one task."""
+    sizes = pages.select(run, "page", _n_lines(), "is_last")
+    placed = split_running_sum(_until_stop(sizes, run).select(run, "page", "n_lines"), [run], "page", "n_lines", "upto")
+    first = placed.select(run, "page", (F.col("upto") - F.col("n_lines") + F.lit(start)).alias("first"))
+    lines = pages.select(run, "page", "lines").join(first, [run, "page"])
+    return lines.select(run, "page", "first", F.posexplode("lines").alias("i", "line")).select(
         run, "page", (F.col("first") + F.col("i")).alias("offset"), "line"
     )
 
 
+def _n_lines():
+    return F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).alias("n_lines")
+
+
 def log_cursor(pages: DataFrame, start: int = 0, run: str = "run_id") -> DataFrame:
     """Per run: pages read, lines read, the offset to continue from and whether the log is complete."""
-    sized = pages.withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)))
-    return _until_stop(sized, run).groupBy(run).agg(
+    return _until_stop(pages.select(run, "page", _n_lines(), "is_last"), run).groupBy(run).agg(
         F.count(F.lit(1)).alias("pages_read"),
         F.sum("n_lines").alias("n_lines"),
         (F.sum("n_lines") + F.lit(start)).alias("next_offset"),
@@ -128,31 +131,30 @@ def rank_output(df: DataFrame) -> DataFrame:
     return global_rank(df, order, "rank")
 
 
+def new_lines(rows: DataFrame, existing: DataFrame, line: str = "line_no") -> DataFrame:
+    """(logical_key, line) of the rows of a batch that are new: the first line of each key that is not known,
+    among the rows whose id is not known.
+
+    Lines are reduced to one per (id, key) and then to one per key before and after the known ids are taken
+    out, both combined on the map side, so a repeated id, a repeated key or blank ids never meet in one task."""
+    ids = existing.where(~is_blank("id")).select("id").distinct()
+    keys = existing.where(~is_blank("logical_key")).select("logical_key").distinct()
+    firsts = rows.where(~is_blank("id")).groupBy("id", "logical_key").agg(F.min(line).alias(line))
+    firsts = firsts.join(ids, "id", "left_anti").groupBy("logical_key").agg(F.min(line).alias(line))
+    return firsts.join(keys, "logical_key", "left_anti")
+
+
 def mark_import(rows: DataFrame, existing: DataFrame, line: str = "line_no") -> DataFrame:
     """Add ``outcome``: 'skipped' for known ids, for known logical keys and for keys an earlier line of
     the same batch brought in; 'imported' otherwise; NULL for rows without id.
 
-    Rows skipped by id do not use up their key.  The first line of each key is a ``min`` per key and is
-    joined back on (key, line), which spreads a huge key over all tasks."""
-    ids = existing.where(~is_blank("id")).select("id", F.lit(True).alias("__id_known")).distinct()
-    keys = existing.where(~is_blank("logical_key")).select("logical_key", F.lit(True).alias("__key_known")).distinct()
-    by_id = join_facts(rows, ids, "id", [line])
-    tagged = join_facts(by_id, keys, "logical_key", [line])
-    open_row = ~is_blank("id") & F.col("__id_known").isNull() & F.col("__key_known").isNull()
-    first = (
-        tagged.where(open_row).groupBy("logical_key").agg(F.min(line).alias(line))
-        .withColumn("__first", F.lit(True))
-    )
-    placed = tagged.join(first, ["logical_key", line], "left")
-    outcome = (
-        F.when(is_blank("id"), F.lit(None))
-        .when(F.col("__id_known").isNotNull() | F.col("__key_known").isNotNull(), "skipped")
-        .when(F.col("__first").isNotNull(), "imported")
-        .otherwise("skipped")
-    )
-    return placed.select(*rows.columns, outcome.alias("outcome"))
+    Rows skipped by id do not use up their key.  The rows themselves are joined once, by (key, line), which
+    spreads a huge key over all tasks."""
+    first = new_lines(rows, existing, line).withColumn("__first", F.lit(True))
+    outcome = F.when(~is_blank("id"), F.when(F.col("__first"), "imported").otherwise("skipped"))
+    return rows.join(first, ["logical_key", line], "left").select(*rows.columns, outcome.alias("outcome"))
 
 
 def skip_existing_import(rows: DataFrame, existing: DataFrame, line: str = "line_no") -> DataFrame:
     """The rows of a batch that are really new."""
-    return mark_import(rows, existing, line).where(F.col("outcome") == "imported").drop("outcome")
+    return rows.where(~is_blank("id")).join(new_lines(rows, existing, line), ["logical_key", line], "left_semi").select(*rows.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postmart.functions.scalars import RUN_STATE_CODES, nonblank
 from postmart.operators.filters import has_core_metrics
 from postmart.operators.joins import resolve_run
+from postmart.operators.skew import join_facts
 
 TERMINAL = ("done", "failed", "cancelled")
 
@@ -49,6 +50,23 @@ def status_ladder(core: Column, listed: Column, listed_core: Column, result: Col
     return {"status": status, "decided_by": decided}
 
 
+def run_evidence(stats: DataFrame, results: DataFrame, error_logs: DataFrame) -> DataFrame:
+    """One row per run that any source knows: (run_id, core, result, has_errors), NULL where a source is silent.
+
+    One aggregation over all sources, combined on the map side, with buffers of fixed width: a run with very
+    many error lines is one row per task."""
+    words = F.array(*[F.lit(w) for w in sorted(set(RUN_STATE_CODES.values()))])
+    code = F.array_position(words, result_status(F.col("state")))
+    sources = (
+        stats.select("run_id", has_core_metrics().alias("core"))
+        .unionByName(results.select("run_id", code.alias("code")), allowMissingColumns=True)
+        .unionByName(error_logs.select("run_id", F.lit(True).alias("has_errors")), allowMissingColumns=True)
+    )
+    known = sources.groupBy("run_id").agg(F.max("core").alias("core"), F.max("code").alias("code"), F.max("has_errors").alias("has_errors"))
+    word = F.when(F.col("code") > 0, F.get(words, F.col("code").cast("int") - 1))
+    return known.select("run_id", "core", word.alias("result"), "has_errors")
+
+
 def reconcile_status(
     runs: DataFrame, stats: DataFrame, listing: DataFrame, results: DataFrame, error_logs: DataFrame
 ) -> DataFrame:
@@ -56,24 +74,17 @@ def reconcile_status(
 
     ``runs``: (wanted).  ``stats``: (run_id unique, metric columns).  ``listing``: (pos, id, list_id,
     source_id, status).  ``results``: (run_id unique, state).  ``error_logs``: (run_id, …), any number of
-    lines per run; only their existence matters, so they are reduced to distinct ids first."""
-    core = stats.select(F.col("run_id"), has_core_metrics().alias("core"))
+    lines per run; only their existence matters.  Evidence is one row per run and joined twice: by the wanted
+    id, which is unique, and by the resolved id, which many wanted ids may share and which is split if so."""
     row = resolve_run(runs, listing.select("pos", "id", "list_id", "source_id", "status")).select(
         "wanted",
         F.col("status").alias("listed"),
         F.coalesce(nonblank("id"), nonblank("source_id"), F.col("wanted")).alias("resolved_id"),
     )
-    logged = error_logs.select("run_id").distinct().withColumn("has_errors", F.lit(True))
-    state = results.select("run_id", result_status(F.col("state")).alias("result"))
-    named = lambda df, key, **names: df.select(
-        F.col("run_id").alias(key), *[F.col(old).alias(new) for new, old in names.items()]
-    )
-    joined = (
-        row.join(named(core, "wanted", core="core"), "wanted", "left")
-        .join(named(core, "resolved_id", listed_core="core"), "resolved_id", "left")
-        .join(named(state, "wanted", result="result"), "wanted", "left")
-        .join(named(logged, "resolved_id", has_errors="has_errors"), "resolved_id", "left")
-    )
+    known = run_evidence(stats, results, error_logs)
+    own = known.select(F.col("run_id").alias("wanted"), "core", "result")
+    other = known.select(F.col("run_id").alias("resolved_id"), F.col("core").alias("listed_core"), "has_errors")
+    joined = join_facts(row.join(own, "wanted", "left"), other, "resolved_id", ["wanted"])
     flag = lambda name: F.coalesce(name, F.lit(False))
     ladder = status_ladder(
         flag("core"), F.col("listed"), flag("listed_core"), F.coalesce("result", F.lit("")), flag("has_errors")

@@ -293,17 +293,19 @@ def cut_repeats(
     shard_of = lambda column: F.pmod(F.xxhash64(column), F.lit(shards)).alias("shard")
 
     found = scratch.store(phrases(rows, window), "phrases")
-    units = found.groupBy("a", "x").agg(F.min("id").alias("early"), F.max("id").alias("late"))
+    counted = [F.min("id").alias("early"), F.max("id").alias("late"), F.count(F.lit(1)).alias("n")]
+    units = found.groupBy("a", "x").agg(*counted)
     units = scratch.store(units, "units")
     several = units.groupBy("a").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
     several = several.select("a", "n", F.lit(True).alias("varied"))
     firsts = join_facts(units, several, "a", ["x"], rows="n").where("varied").select(shard_of("early"), F.col("early").alias("id"), "a", "x")
     windows = scratch.store(_variant_windows(sharded, firsts, window), "windows")
-    seen = windows.groupBy("a", "h").agg(F.min("id").alias("early"), F.max("id").alias("late"))
+    seen = windows.groupBy("a", "h").agg(*counted)
     confirmed = None
     for kind, places, first, b in (("phrase", found, units, "x"), ("window", windows, seen, "h")):
-        per_shard = places.select(shard_of("id"), "a", b).distinct().join(first.where("early < late").drop("late"), ["a", b])
-        part = per_shard.select("shard", "a", F.col(b).alias("b"), "early", F.lit(kind).alias("kind"))
+        repeated = first.where("early < late").select(F.struct("a", b).alias("u"), "early", "n")
+        placed = join_facts(places.select("id", F.struct("a", b).alias("u")), repeated, "u", ["id"], rows="n").where("early < id")
+        part = placed.select(shard_of("id"), "u.a", F.col(f"u.{b}").alias("b"), "early", F.lit(kind).alias("kind")).distinct()
         confirmed = part if confirmed is None else confirmed.unionByName(part)
     return _cut_out(sharded, confirmed, window, with_text).withColumnRenamed("id", id_col)
 

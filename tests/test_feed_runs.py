@@ -155,3 +155,17 @@ def test_listing_parameters(spark):
     assert ids(page_size=1, page=2) == ["1"] and ids(page=9) == []
     row = list_posts(index, archives, runs, labels).page.where("id = '1'").first()
     assert (row["download_status"], row["last_backtest_run_id"], row["last_backtest_status"], row["labels"]) == ("downloaded", 9, "done", ["a", "b"])
+
+
+def test_find_new_item_ties_go_by_position(spark, folder):
+    """Items of one day with ids of several lengths: the query and its SQL take the first position, not the first text."""
+    import duckdb
+
+    from workload import load
+
+    queries, sql = load()
+    spark.sql("SELECT id AS o_orderkey, TIMESTAMP_NTZ'2024-01-01' AS o_orderdate FROM VALUES (8L), (9L), (13L), (101L) t(id)").write.parquet(f"{folder}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
+    got = values(queries["find_new_item"](spark, folder), "id")
+    assert got == con.execute(sql["find_new_item"]).fetchall() == [("9",)]

@@ -90,7 +90,7 @@ def _(v):
 
 @query("find_new_item", """
 WITH top AS (SELECT o_orderkey AS id, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20)
-SELECT CAST(id AS VARCHAR) AS id FROM top ORDER BY CASE WHEN id % 4 = 1 THEN 0 ELSE 1 END, o_orderdate DESC, id LIMIT 1""")
+SELECT CAST(top.id AS VARCHAR) AS id FROM top ORDER BY CASE WHEN top.id % 4 = 1 THEN 0 ELSE 1 END, o_orderdate DESC, top.id LIMIT 1""")
 def _(v):
     after = v.table("orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").cast("string").alias("updated_at"), F.col("o_orderkey").alias("pos"))

@@ -82,6 +82,17 @@ def vkind(v: Column | str) -> Column:
     return F.regexp_extract(F.schema_of_variant(_c(v)), r"^[A-Z]+", 0)
 
 
+def vrecord(v: Column | str, fields: dict[str, str], path: str = "") -> Column:
+    """The named fields of the object at ``path`` as a struct, read in one pass; each is what ``vget`` gives.  NULL
+    when there is no object."""
+    return vget(v, path, f"struct<{', '.join(f'`{name}`: {kind}' for name, kind in fields.items())}>")
+
+
+def is_object(v: Column | str) -> Column:
+    """Whether a variant is a JSON object.  Unlike ``vkind`` this does not look into its values."""
+    return vrecord(v, {"_": "variant"}).isNotNull()
+
+
 def vlist(v: Column | str, path: str) -> Column:
     """Array of variants at ``path``, empty when the value is missing or not a list."""
     return F.coalesce(vget(v, path, "array<variant>"), F.array().cast("array<variant>"))
@@ -113,10 +124,11 @@ def flag01(c: Column | str) -> Column:
     return F.coalesce(int_strict(c) != 0, F.lit(False))
 
 
-def int_json(v: Column | str, path: str, default: int | None = None) -> Column:
+def int_json(v: Column | str, path: str, default: int | None = None, text: Column | None = None) -> Column:
     """Whole number of a JSON value: numbers lose their fraction, ``true`` is 1 and ``false`` 0, text must be a whole
-    number; anything else gives ``default``.  The kind is looked at only where the text is not a whole number."""
-    text = vget(v, path)
+    number; anything else gives ``default``.  The kind is looked at only where the text is not a whole number.
+    ``text`` is the value as ``vget`` gives it, where that is known already."""
+    text = vget(v, path) if text is None else text
     kind = vkind(vget(v, path, "variant"))
     other = (
         F.when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0).cast("bigint"))
@@ -126,9 +138,9 @@ def int_json(v: Column | str, path: str, default: int | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default).cast("bigint"))
 
 
-def flag_json(v: Column | str, path: str) -> Column:
+def flag_json(v: Column | str, path: str, text: Column | None = None) -> Column:
     """Whether a JSON value is a whole number other than 0 in the sense of ``int_json``."""
-    return F.coalesce(int_json(v, path) != 0, F.lit(False))
+    return F.coalesce(int_json(v, path, text=text) != 0, F.lit(False))
 
 
 def truthy_json(v: Column | str, path: str) -> Column:
@@ -305,11 +317,11 @@ def split_date_range(c: Column | str) -> Column:
 
 def normalize_tags(tags: Column | str) -> Column:
     """Array of variant tags to array<struct<id,name>>; entries that are not objects are dropped."""
-    objects = F.filter(_c(tags), lambda t: F.schema_of_variant(t).startswith("OBJECT"))
+    read = F.transform(_c(tags), lambda t: vrecord(t, {"tagKey": "string", "tagId": "string", "name": "string"}))
     return F.transform(
-        objects,
+        F.array_compact(read),
         lambda t: F.struct(
-            F.coalesce(vget(t, "tagKey"), vget(t, "tagId"), F.lit("")).alias("id"),
-            F.coalesce(vget(t, "name"), F.lit("")).alias("name"),
+            F.coalesce(t["tagKey"], t["tagId"], F.lit("")).alias("id"),
+            F.coalesce(t["name"], F.lit("")).alias("name"),
         ),
     )

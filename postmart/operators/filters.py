@@ -144,7 +144,7 @@ def mark_feed_stop(
     cut = parse_until(until) if isinstance(until, str) or until is None else until
     old = F.lit(False) if cut is None else F.coalesce(parse_time("published_at", strip=True) < cut, F.lit(False))
     hit = F.lit(False) if not since_id else F.coalesce(F.col("id") == since_id, F.lit(False))
-    kind = F.when(hit, "since_id").when(old & ~F.col("is_top"), "until")
+    kind = F.when(hit, "since_id").when(F.col("is_old") & ~F.col("is_top"), "until")
     return df.withColumn("is_old", old).withColumn("stop_kind", kind)
 
 

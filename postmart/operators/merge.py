@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postmart.functions.scalars import DEFAULT_POST_URL, default_url, is_blank
+from postmart.operators.skew import join_facts
+from postmart.session import cut_lineage
 
 # A struct by this name is replaced as a whole, and only by one with content; every other struct
 # merges field by field.
@@ -21,21 +23,44 @@ def has_content(col: Column, dtype: T.StructType) -> Column:
     return F.coalesce(reduce(or_, [col[f.name].isNotNull() for f in dtype.fields]), F.lit(False))
 
 
+def _blank(value: Column, dtype: T.DataType, json_text: bool = False) -> Column:
+    if isinstance(dtype, T.StructType):
+        return ~has_content(value, dtype)
+    if json_text:
+        return is_blank(value, dtype) | F.regexp_replace(value, r"\s", "").isin("[]", "{}", "null", '""')
+    return is_blank(value, dtype)
+
+
+def _keeps_blank(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.ArrayType))
+
+
 def _winner(value: Column, dtype: T.DataType, order: Column, json_text: bool = False) -> Column:
     """The last non-blank value along ``order``; failing that any blank one; NULL if never present."""
-    if isinstance(dtype, T.StructType):
-        blank = ~has_content(value, dtype)
-    elif json_text:
-        blank = is_blank(value, dtype) | F.regexp_replace(value, r"\s", "").isin("[]", "{}", "null", '""')
-    else:
-        blank = is_blank(value, dtype)
-    last = F.max_by(value, F.when(~blank, order))
-    if isinstance(dtype, (T.StringType, T.ArrayType)):
+    last = F.max_by(value, F.when(~_blank(value, dtype, json_text), order))
+    if _keeps_blank(dtype):
         # All remaining values are '' or [], so any of them will do.
         return F.coalesce(last, F.any_value(value, ignoreNulls=True))
     return last
 
 
+def _alone(value: Column, dtype: T.DataType, name: str = "") -> Column:
+    """What the merge makes of a field of a single version: the value, but no struct is missing, save the whole ones,
+    which are missing without content, and no map is empty."""
+    if isinstance(dtype, T.MapType):
+        return F.when(~_blank(value, dtype), value)
+    if not isinstance(dtype, T.StructType):
+        return value
+    if name in WHOLE_STRUCTS:
+        return F.when(has_content(value, dtype), value)
+    if any(isinstance(f.dataType, (T.StructType, T.MapType)) for f in dtype.fields):
+        return F.struct(*[
+            (F.when(has_content(value[f.name], f.dataType), value[f.name]) if isinstance(f.dataType, T.StructType) else _alone(value[f.name], f.dataType))
+            .alias(f.name) for f in dtype.fields
+        ])
+    return F.coalesce(value, F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in dtype.fields]))
+
+
 def merge_versions(
     df: DataFrame, key: str, order: list[str], base_url: str | None = DEFAULT_POST_URL
 ) -> DataFrame:
@@ -66,6 +91,30 @@ def merge_versions(
     return merged
 
 
+def merge_repeated(
+    df: DataFrame, key: str, order: list[str], base_url: str | None = DEFAULT_POST_URL, tie: Column | None = None
+) -> DataFrame:
+    """``merge_versions`` where most keys have one version.
+
+    Keys are counted first, on the key column alone.  Rows of a key with one version take no part in the aggregation,
+    which carries a value and a place per field; they only get the form it would give them.  ``tie`` orders versions
+    that ``order`` leaves equal and is computed for repeated keys only."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    repeated = cut_lineage(counts)
+    marked = join_facts(df, repeated.withColumn("__many", F.lit(True)), key, order, rows="__n")
+    many = F.col("__many").isNotNull() | F.col(key).isNull()
+    versions, by = marked.where(many).drop("__many"), order
+    if tie is not None:
+        versions, by = versions.withColumn("__tie", tie), [*order, "__tie"]
+    merged = merge_versions(versions, key, by, base_url)
+    single = marked.where(~many).select(key, *[
+        _alone(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields if f.name != key and f.name not in order
+    ])
+    if base_url and "url" in single.columns:
+        single = single.withColumn("url", default_url("url", key, base_url))
+    return merged.unionByName(single)
+
+
 def merge_into(archive: DataFrame, incoming: DataFrame, key: str = "id", base_url: str | None = DEFAULT_POST_URL) -> DataFrame:
     """Merge a batch (unique per key) over the archive (unique per key), archive first."""
     both = archive.withColumn("__rank", F.lit(0)).unionByName(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -14,63 +15,78 @@ from postmart.schemas import ARCHIVE, INDEX_COLUMNS, POST_COLUMNS
 LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.coalesce(X.vget(v, path), F.lit(""))
+#: The value at a path of an object that was read before.
+Read = Callable[[str], Column]
 
 
-def _count(v: Column, path: str) -> Column:
-    return X.int_json(v, path, 0)
+def _text(v: Column, path: str, read: Read | None = None) -> Column:
+    return F.coalesce(read(path) if read else X.vget(v, path), F.lit(""))
 
 
-def _flag(v: Column, path: str) -> Column:
-    return X.flag_json(v, path)
+def _count(v: Column, path: str, read: Read | None = None) -> Column:
+    return X.int_json(v, path, 0, read and read(path))
 
 
-def _common(v: Column) -> dict[str, Column]:
+def _flag(v: Column, path: str, read: Read | None = None) -> Column:
+    return X.flag_json(v, path, read and read(path))
+
+
+def _common(v: Column, read: Read | None = None) -> dict[str, Column]:
     """Fields that feed rows and detail payloads share."""
     return {
-        "id": _text(v, "postId"),
-        "title": _text(v, "title"),
-        "published_at": _text(v, "addTime"),
-        "updated_at": _text(v, "modTime"),
-        "last_active_at": _text(v, "lastActiveTime"),
-        "reply_count": _count(v, "replyCount"),
-        "view_count": _count(v, "viewCount"),
-        "like_count": _count(v, "likeCount"),
-        "collection_count": _count(v, "collectionCount"),
-        "is_top": _flag(v, "isTop"),
-        "is_best": _flag(v, "isBest"),
+        "id": _text(v, "postId", read),
+        "title": _text(v, "title", read),
+        "published_at": _text(v, "addTime", read),
+        "updated_at": _text(v, "modTime", read),
+        "last_active_at": _text(v, "lastActiveTime", read),
+        "reply_count": _count(v, "replyCount", read),
+        "view_count": _count(v, "viewCount", read),
+        "like_count": _count(v, "likeCount", read),
+        "collection_count": _count(v, "collectionCount", read),
+        "is_top": _flag(v, "isTop", read),
+        "is_best": _flag(v, "isBest", read),
         "research": F.struct(
-            _text(v, "notebookPath").alias("notebook_path"),
-            _text(v, "notebookReport").alias("notebook_report"),
-            _count(v, "notebookCloneCount").alias("notebook_clone_count"),
+            _text(v, "notebookPath", read).alias("notebook_path"),
+            _text(v, "notebookReport", read).alias("notebook_report"),
+            _count(v, "notebookCloneCount", read).alias("notebook_clone_count"),
         ),
-        "tags": X.normalize_tags(X.vlist(v, "tagInfo")),
+        "tags": X.normalize_tags(F.coalesce(read("tagInfo"), F.array().cast("array<variant>")) if read else X.vlist(v, "tagInfo")),
     }
 
 
+# What a feed row is read for, in one pass over its variant.
+_FEED_ROW = {
+    **dict.fromkeys([
+        "postId", "title", "addTime", "modTime", "lastActiveTime", "lastReplyTime", "replyCount", "viewCount", "likeCount",
+        "collectionCount", "isTop", "isBest", "notebookPath", "notebookReport", "notebookCloneCount", "backtestId",
+        "backtestCloneCount", "backtestPicUrl", "fileKey", "fileName", "fileType", "fileDownloadCount", "content",
+    ], "string"),
+    "user": "struct<userId: string, alias: string>", "tagInfo": "array<variant>",
+}
+
+
 def normalize_feed_post(df: DataFrame, item: str = "item", base_url: str = X.DEFAULT_POST_URL) -> DataFrame:
     """Feed row objects (variant column) to canonical posts; other columns are kept.  A ``user`` or
     ``tagInfo`` of the wrong shape counts as empty."""
-    v = F.col(item)
-    fields = _common(v)
+    v, read = F.col(item), lambda path: F.col(f"__raw.{path}")
+    fields = _common(v, read)
     fields["url"] = F.concat(F.lit(base_url), fields["id"])
-    fields["author"] = F.struct(_text(v, "user.userId").alias("id"), _text(v, "user.alias").alias("name"))
-    fields["last_reply_at"] = _text(v, "lastReplyTime")
+    fields["author"] = F.struct(_text(v, "user.userId", read).alias("id"), _text(v, "user.alias", read).alias("name"))
+    fields["last_reply_at"] = _text(v, "lastReplyTime", read)
     fields["backtest"] = F.struct(
-        _text(v, "backtestId").alias("id"),
-        _count(v, "backtestCloneCount").alias("clone_count"),
-        _text(v, "backtestPicUrl").alias("pic_url"),
+        _text(v, "backtestId", read).alias("id"),
+        _count(v, "backtestCloneCount", read).alias("clone_count"),
+        _text(v, "backtestPicUrl", read).alias("pic_url"),
     )
     fields["file"] = F.struct(
-        _text(v, "fileKey").alias("key"),
-        _text(v, "fileName").alias("name"),
-        _text(v, "fileType").alias("type"),
-        _count(v, "fileDownloadCount").alias("download_count"),
+        _text(v, "fileKey", read).alias("key"),
+        _text(v, "fileName", read).alias("name"),
+        _text(v, "fileType", read).alias("type"),
+        _count(v, "fileDownloadCount", read).alias("download_count"),
     )
-    fields["content_preview"] = _text(v, "content")
+    fields["content_preview"] = _text(v, "content", read)
     rest = [c for c in df.columns if c != item]
-    return df.select(*rest, *[c.alias(n) for n, c in fields.items()])
+    return df.withColumn("__raw", X.vrecord(v, _FEED_ROW)).select(*rest, *[c.alias(n) for n, c in fields.items()])
 
 
 def normalize_post_detail(
@@ -120,6 +136,8 @@ def conform(df: DataFrame, schema: T.StructType = ARCHIVE, keep: tuple[str, ...]
     (absent)."""
 
     def fit(col: Column, have: T.DataType, want: T.DataType) -> Column:
+        if have.simpleString() == want.simpleString():
+            return col
         if isinstance(want, T.StructType) and isinstance(have, T.StructType):
             names = set(have.fieldNames())
             parts = [

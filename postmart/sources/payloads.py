@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postmart.functions.scalars import flag01, float_or_null, int_json, int_strict, is_blank, truncation_flag, truthy_json, vget, vkind, vlist
+from postmart.functions.scalars import flag01, float_or_null, int_json, int_strict, is_blank, is_object, truncation_flag, truthy_json, vget, vkind, vlist, vrecord
 from postmart.operators.filters import ANY_METRICS, CORE_METRICS, has_any_metrics, has_core_metrics
 from postmart.operators.skew import join_facts
 from postmart.session import cut_lineage
@@ -17,18 +17,20 @@ OK_CODE = "00000"
 
 def inspect_pages(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Parse the envelope: adds ``data`` (variant, NULL when rejected) and ``reject_reason``."""
-    parsed = df.withColumn("__v", F.try_parse_json(payload))
+    envelope = vrecord(F.try_parse_json(payload), {"code": "string", "msg": "string", "data": "variant"})
+    # Out of an array of one: a filter on what follows would otherwise move below and parse every page again.
+    rest = [c for c in df.columns if c != payload]
+    parsed = df.select(*rest, F.explode(F.array(envelope)).alias("__e"))
     reason = (
-        F.when(F.coalesce(vkind("__v"), F.lit("")) != "OBJECT", "response is not an object")
+        F.when(F.col("__e").isNull(), "response is not an object")
         .when(
-            F.coalesce(vget("__v", "code"), F.lit("")) != OK_CODE,
-            F.coalesce(F.nullif(vget("__v", "msg"), F.lit("")), F.lit("request failed")),
+            F.coalesce(F.col("__e.code"), F.lit("")) != OK_CODE,
+            F.coalesce(F.nullif(F.col("__e.msg"), F.lit("")), F.lit("request failed")),
         )
-        .when(F.coalesce(vkind(vget("__v", "data", "variant")), F.lit("")) != "OBJECT", "response has no data object")
+        .when(~is_object("__e.data"), "response has no data object")
     )
     checked = parsed.withColumn("reject_reason", reason)
-    data = F.when(F.col("reject_reason").isNull(), vget("__v", "data", "variant"))
-    return checked.withColumn("data", data).drop("__v", payload)
+    return checked.withColumn("data", F.when(F.col("reject_reason").isNull(), F.col("__e.data"))).drop("__e")
 
 
 def _accepted(df: DataFrame, payload: str, on_reject: str) -> DataFrame:
@@ -47,15 +49,17 @@ def scan_feed_pages(df: DataFrame, payload: str = "payload", on_reject: str = "r
     item, and a page without entries is one such row."""
     pages = _accepted(df, payload, on_reject)
     rest = [c for c in pages.columns if c != "data"]
-    exploded = pages.select(
+    fields = {"list": "array<variant>", "totalCount": "string", "currTime": "string"}
+    listed = F.coalesce("__d.list", F.array().cast("array<variant>"))
+    exploded = pages.withColumn("__d", vrecord("data", fields)).select(
         *rest,
-        int_json("data", "totalCount").alias("total_count"),
-        vget("data", "currTime").alias("curr_time"),
-        (F.posexplode_outer if keep_empty else F.posexplode)(vlist("data", "list")).alias("pos", "item"),
+        int_json("data", "totalCount", text=F.col("__d.totalCount")).alias("total_count"),
+        F.col("__d.currTime").alias("curr_time"),
+        (F.posexplode_outer if keep_empty else F.posexplode)(listed).alias("pos", "item"),
     )
     if keep_empty:
-        return exploded.withColumn("item", F.when(vkind("item") == "OBJECT", F.col("item")))
-    return exploded.where(vkind("item") == "OBJECT")
+        return exploded.withColumn("item", F.when(is_object("item"), F.col("item")))
+    return exploded.where(is_object("item"))
 
 
 def _reply_pages(df: DataFrame, payload: str, on_reject: str) -> DataFrame:

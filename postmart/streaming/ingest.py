@@ -17,7 +17,7 @@ from postmart.operators.filters import mark_feed_stop, parse_until
 from postmart.operators.ranking import split_running_sum
 from postmart.operators.skew import join_facts
 from postmart.operators.windows import first_wins
-from postmart.operators.merge import merge_versions
+from postmart.operators.merge import merge_repeated
 from postmart.operators.normalize import compact_post, conform, normalize_feed_post
 from postmart.schemas import ARCHIVE
 from postmart.session import cut_lineage
@@ -187,8 +187,7 @@ def compact_archive(spark: SparkSession, root: str, log: str, base_url: str = DE
     for c in ("page", "pos"):
         rows = rows.withColumn(f"__{c}", F.coalesce(c, F.lit(-1)) if c in rows.columns else F.lit(-1).cast("bigint")).drop(c)
     tie = F.xxhash64(F.to_json(F.struct(*[f.name for f in ARCHIVE.fields])))
-    ordered = rows.withColumn("__tie", tie)
-    merged = merge_versions(ordered, "id", ["__source", "__page", "__pos", "__tie"], base_url)
+    merged = merge_repeated(rows, "id", ["__source", "__page", "__pos"], base_url, tie)
     replace_published(conform(merged), root)
     if fresh is not None and last is not None:
         replace_published(spark.range(1).select(F.lit(last).cast("bigint").alias("batch")), ledger)

@@ -140,3 +140,23 @@ def test_resume_with_blank_keys(spark):
     assert sorted((r["n"] for r in resume_anti(rows, done).collect())) == [2, 3, 3, 4, 4]
     numbers = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, v string")
     assert [r["id"] for r in resume_anti(numbers, spark.createDataFrame([(1,)], "id int")).collect()] == [2]
+
+
+def test_merge_of_repeated_keys_only(spark):
+    """Same rows as the merge of all keys: single versions, repeated ones, rows without a key, absent structs."""
+    schema = "id string, ord bigint, url string, number bigint, tags array<string>, author struct<a:string,b:bigint>, " \
+        "backtest struct<id:string,stats:struct<x:double>>, stats struct<x:double>, bounty string"
+    rows = [
+        ("1", 1, None, None, None, None, None, None, "[]"),
+        ("2", 1, "", 0, [], (None, None), ("", (None,)), (None,), ""),
+        ("3", 1, "u", 5, ["t"], ("n", 0), (None, (1.5,)), (2.0,), "[1]"),
+        ("4", 1, "u", 5, ["t"], ("n", 1), ("b", (1.5,)), (2.0,), "[1]"), ("4", 2, "", None, [], ("", None), None, (None,), "{}"),
+        (None, 1, None, 1, None, ("x", None), None, None, None), (None, 2, None, None, ["v"], None, ("c", None), None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    text = lambda merged: sorted(r[0] for r in merged.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect())
+    want = M.merge_versions(df, "id", ["ord"])
+    got = M.merge_repeated(df, "id", ["ord"])
+    assert got.columns == want.columns and text(got) == text(want) and len(text(got)) == 5
+    tied = spark.createDataFrame([("4", 1, "p"), ("4", 1, "q"), ("5", 1, "r")], "id string, ord bigint, title string")
+    assert text(M.merge_repeated(tied, "id", ["ord"], None, F.ascii("title"))) == ['{"id":"4","title":"q"}', '{"id":"5","title":"r"}']

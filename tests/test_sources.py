@@ -260,3 +260,12 @@ def test_what_a_deep_walk_writes(spark, monkeypatch):
     assert sorted((r["folder"], r["depth"]) for r in walked.collect()) == sorted((f"n{i}", i) for i in range(13))
     size = [sum(os.path.getsize(f) for f in glob.glob(f"{written[0]}/level={k}/part-*") if spark.read.parquet(f).count()) for k in range(13)]
     assert all(size) and max(size) < 2 * min(size)
+
+
+def test_a_feed_page_is_parsed_once(spark):
+    """A filter on rejected pages or on entries must not parse the payload again."""
+    pages = spark.createDataFrame([("f", 1, json.dumps({"code": "00000", "data": {"list": [{"postId": "1"}, 7]}}))], "feed string, page bigint, payload string")
+    items = S.scan_feed_pages(pages, on_reject="skip", keep_empty=True)
+    plan = N.normalize_feed_post(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert sorted(values(N.normalize_feed_post(items), "pos", "id")) == [(0, "1"), (1, "")]

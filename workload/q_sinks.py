@@ -194,7 +194,7 @@ def _landed(v, root: str):
     """Feed pages as landed files: odd pages first, then even pages, page 1 again."""
     from workload.q_feed import feed_payloads
 
-    pages = feed_payloads(v)
+    pages = cut_lineage(feed_payloads(v))
     pages.where(F.col("page") % 2 == 1).write.json(f"{root}/landing")
     return pages
 

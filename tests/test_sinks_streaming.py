@@ -460,3 +460,14 @@ def test_evidence_order_and_tombstones():
     feed(polls((5, "running", "listing")))
     assert [tuple(r) for out in t.handleExpiredTimer(("r",), Clock(), None) for r in out.itertuples(index=False)] == [("r", "timeout", "listing", 1)]
     assert feed(polls((6, "done", "stats"))) == []
+
+
+def test_landed_pages_are_derived_once(spark, monkeypatch):
+    """The queries land their pages in several parts; what is landed is stored first, so the sources are read once."""
+    from workload import q_sinks
+    from workload.views import Views
+
+    stored = []
+    monkeypatch.setattr(q_sinks, "cut_lineage", lambda df: stored.append(cut_lineage(df)) or stored[-1])
+    q_sinks._walked(Views(spark, "/root/testdata/sf0.001"))
+    assert [set(df.columns) for df in stored] == [{"feed", "reading", "page", "payload"}]

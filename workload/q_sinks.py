@@ -256,7 +256,7 @@ def _walked(v) -> str:
     from workload.q_feed import feed_payloads
 
     root = scratch(v)
-    pages = feed_payloads(v).withColumn("reading", F.lit("r1"))
+    pages = cut_lineage(feed_payloads(v).withColumn("reading", F.lit("r1")))
     for part in (F.col("page") <= 6, F.col("page").between(5, 12), F.col("page") > 12):
         pages.where(part).write.mode("append").json(f"{root}/landing")
         stream_ingest(v.spark, f"{root}/landing", f"{root}/log", f"{root}/checkpoint", cut=_CUT).awaitTermination()

@@ -269,3 +269,13 @@ def test_a_feed_page_is_parsed_once(spark):
     plan = N.normalize_feed_post(items)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
     assert sorted(values(N.normalize_feed_post(items), "pos", "id")) == [(0, "1"), (1, "")]
+
+
+def test_pages_of_one_split_are_tokenised_by_all_tasks(spark):
+    """A table that comes as one split must not be parsed in one task."""
+    pages = spark.range(0, 400, 1, 1).select("id", F.lit("<tr><td>a</td></tr>").alias("html"))
+    rows = html.extract_html_rows(pages, "html", "tr").withColumn("task", F.spark_partition_id())
+    per_task = [r["count"] for r in rows.groupBy("task").count().collect()]
+    assert len(per_task) == 4 and sum(per_task) == 400 and max(per_task) <= 150
+    links = html.extract_tag_attributes(pages, "html", "td", "id", "id")
+    assert links.select(F.spark_partition_id().alias("p")).distinct().count() == 4
